@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def flat(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut a batch into runs of rows of about limit bytes of text; a longer row stands alone."""
-    size = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    size = np.array(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     if not len(size):
         return
     end = np.cumsum(size)

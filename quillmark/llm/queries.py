@@ -7,23 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontaminate, packing, quality, sharding, token_files, toxicity, warc
 from .common import table
 
 
+def _held_out(n: int, rest: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == rest, F.lit(False))
+
+
+def op1_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.fit(docs, labels.where(~_held_out(3, 1)), "toxic")
+    return toxicity.score(docs, lexicon, ["doc_id"]).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted", "n_terms")
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), packing.CAPACITY, end_id=0)
     digest = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digest, packing.CAPACITY)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.judged(decontaminate.spans(docs, table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op5_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), end_id=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
-    "op6_token_planes": op6_token_planes,
-}
+def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 24)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs, labels, ["doc_id"], learn=~_held_out(4, 2))
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op4_decontamination, op5_warc_records, op6_token_planes, op9_interleaved_shards, op10_quality_rules)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -121,7 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         store, place = _open(name)
         store.create_dir(place.rsplit("/", 1)[0], recursive=True)
         encoder, table = Encoder.at(tokenizer), []
-        with store.open_output_stream(f"{place}.{attempt}.tmp") as out:
+        with store.open_output_stream(f"{place}.{attempt}.tmp", compression=None) as out:
             writer = PlaneWriter(out, bits)
             for batch in batches:
                 for run in slices(batch):

@@ -16,7 +16,7 @@ from .common import K1, NOT_SPACE, U64, Words, mix, ragged
 
 TOKENIZER = "word_bpe_49k.json"
 #: Units that a worker remembers before it starts afresh: bounds memory, never results.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 
 _LETTER, _MARK, _OTHER = 1, 2, 3
 _KIND = np.full(256, _OTHER, np.int8)
