@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, token_files, toxicity, warc
+from . import decontaminate, jaccard, packing, quality, sharding, token_files, toxicity, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest, packing.CAPACITY)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 5)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.judged(decontaminate.spans(docs, table(spark, sf_dir, "benchmark")))
@@ -51,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
-_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op4_decontamination, op5_warc_records, op6_token_planes, op9_interleaved_shards, op10_quality_rules)
+_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op9_interleaved_shards, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
