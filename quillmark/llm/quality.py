@@ -69,7 +69,7 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
 
 def stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and the statistics of each whole text."""
-    given = docs.select(*keep, "text")
+    given = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = given.select(*keep).schema
     for name in STATS:
         schema = schema.add(name, "double")
@@ -118,12 +118,12 @@ def _paths(node, tests: tuple = ()):
         yield from _paths(node.rightChild(), (*tests, (name, False, threshold)))
 
 
-def fit(rows: DataFrame, sample: int = 20_000, trees: int = 16, depth: int = 3, lasso: float = 0.003, seed: int = 7) -> Rules:
-    """rows: the statistics and `label` (0 or 1), with an `_order` by which the sample is taken."""
+def fit(rows: DataFrame, trees: int = 16, depth: int = 3, lasso: float = 0.003, seed: int = 7) -> Rules:
+    """rows: the statistics and `label` (0 or 1) of a bounded sample."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    train = materialize(rows.orderBy("_order").limit(sample).select(*STATS, F.col("label").cast("double").alias("label")).coalesce(4), "quality-sample")
+    train = materialize(rows.select(*STATS, F.col("label").cast("double").alias("label")).repartition(4), "quality-sample")
     n = {int(r.label): r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Rules(math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)), [])
@@ -141,9 +141,8 @@ def fit(rows: DataFrame, sample: int = 20_000, trees: int = 16, depth: int = 3,
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column | None = None, label: str = "quality", threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
     """Fit on the labelled rows of docs that `learn` (a condition on doc_id) lets in, and score all: `keep`, statistics, score, predicted."""
-    names = list(dict.fromkeys(["doc_id", *keep]))
-    measured = materialize(stats(docs, names), "quality-stats")
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.where(learn) if learn is not None else known
-    rules = fit(measured.select("doc_id", *STATS).join(known, "doc_id").withColumn("_order", F.struct(F.xxhash64("doc_id", F.lit(13)), "doc_id")), sample)
-    return measured.withColumn("score", rules.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(sample)
+    rules = fit(stats(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["label"]))  # of no more than `sample` ids
+    return stats(docs, keep).withColumn("score", rules.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
