@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, repeats, sharding, token_files, toxicity, warc
-from .common import table
+from . import chroma, decontaminate, jaccard, packing, quality, repeats, sharding, token_files, toxicity, warc
+from .common import materialize, table
 
 
 def _held_out(n: int, rest: int):
@@ -45,6 +45,13 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op7_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings rendered from `embeddings` (the tables hold no audio); every vec_id divisible by 50 against all."""
+    media = chroma.media_of(table(spark, sf_dir, "embeddings"))
+    found = materialize(chroma.fingerprints(media, chroma.fit(media)), "chroma-prints")
+    return chroma.search(found, found.where("rec_id % 50 = 0").select("rec_id").distinct())
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
@@ -60,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
-_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules)
+_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op7_chroma_alignment, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
