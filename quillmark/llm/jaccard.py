@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import K3, U64, Words, blob, fragments, joined, materialize, mix, ragged, scaled, slices, text_bytes
@@ -38,6 +38,8 @@ from .components import components
 FRAGMENT_GRAMS, BLOCK_PAIRS = 2_000_000, 2_000_000
 #: A posting list's sets per salt.
 SALTED = 512
+#: N-grams before a posting that are looked at so that a pair is made once; a pair made twice is counted once.
+EARLIER = 64
 #: Sets that may be broadcast by their 16 bytes each; with more, the join is shuffled.
 BROADCAST_SETS = 500_000
 
@@ -349,9 +351,6 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
         sets = materialize(sets.dropDuplicates(["set"]), "sets")
     counted = sets.withColumn("block", F.lit(0).cast("long")).mapInArrow(_pack_sets(parts), _PACKED).groupBy("part").applyInArrow(_frequencies(parts), _PACKED)
     postings = materialize(counted.groupBy("part").applyInArrow(_postings, _POSTINGS), "postings")
-
-    from pyspark.sql import Window
-
     salt = F.pmod(F.xxhash64("set"), F.ceil(F.col("df") / SALTED))
     order = Window.partitionBy("gram", "_salt").orderBy("n", F.xxhash64("gram", "set"))
     ahead = postings.withColumn("_salt", salt).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("set", "n", "pos")))
@@ -360,10 +359,14 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     roots = components(links)
     named = postings.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = named.groupBy("gram").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("gram")
-    named = materialize(named.join(mixed, "gram").select("gram", "set", "n", "pos", "root"), "mixed-postings")
-    x = named.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("set", "n", "pos", "root")))
-    y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "pos", "root")))
-    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("x_root") < F.col("y_root")) & _possible("x_", "y_"))
+    # A pair is made at the first n-gram that both share; the last EARLIER n-grams before a posting tell (nearly) all others.
+    before = Window.partitionBy("set").orderBy("pos").rowsBetween(-EARLIER, -1)
+    named = named.join(mixed, "gram").select("gram", "set", "n", "pos", "root").withColumn("earlier", F.collect_list("gram").over(before))
+    named = materialize(named, "mixed-postings")
+    x = named.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("set", "n", "pos", "root", "earlier")))
+    y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "pos", "root", "earlier")))
+    fits = (F.col("x_root") < F.col("y_root")) & _possible("x_", "y_") & ~F.arrays_overlap("x_earlier", "y_earlier")
+    pairs = x.join(y, (x["gram"] == y["gram"]) & fits)
     more = count_pairs(sets, pairs.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct(), parts)
     if more.count():
         roots = components(links.unionByName(more))
