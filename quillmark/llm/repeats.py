@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import K1, K2, U64, Words, blob, fragments, joined, mix, ragged, scaled, slices, text_bytes
 
 WINDOW, MARKER, DENSITY = 50, 3, 16
+#: Text that a task judges at a time, and text behind a group; a suffix takes some 60 bytes of a worker's memory.
+SLICE, GROUP = 4 << 20, 12 << 20
 _RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 RUNS = "part int, kind int, docs binary, rows binary, starts binary, lengths binary, hashes binary"
@@ -57,7 +59,7 @@ def _suffixes(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.
 def _send(window: int, parts: int):
     def task(batches):
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, limit=SLICE):
                 words = Words(run.column("text"), lower=False)
                 h = words.hashes()
                 if len(h) < window:
@@ -128,7 +130,7 @@ def _judge(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, row_key and spans [start, end) in words that repeat a window of a document of smaller doc_id; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = fragments(text_bytes(docs), docs.sparkSession)
+    parts = fragments(text_bytes(docs), docs.sparkSession, GROUP)
     return docs.mapInArrow(_send(window, parts), RUNS).groupBy("part").applyInArrow(_judge(window), SPANS)
 
 
@@ -142,7 +144,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, limit=SLICE):
                 words = Words(run.column("text"), lower=False)
                 found = run.column("_found")
                 keys = None
