@@ -1,4 +1,4 @@
 """All queries of the engine and, where SQL can state them, the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import eval_queries, stream_queries, text_queries  # noqa: F401  they register themselves
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
