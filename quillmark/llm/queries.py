@@ -49,7 +49,8 @@ def op7_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings rendered from `embeddings` (the tables hold no audio); every vec_id divisible by 50 against all."""
     media = chroma.media_of(table(spark, sf_dir, "embeddings"))
     found = materialize(chroma.fingerprints(media, chroma.fit(media)), "chroma-prints")
-    return chroma.search(found, found.where("rec_id % 50 = 0").select("rec_id").distinct())
+    asked = found.where("rec_id % 50 = 0").select("rec_id").distinct()
+    return chroma.summary(asked, chroma.search(found, asked))
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
