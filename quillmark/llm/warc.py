@@ -36,10 +36,13 @@ def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Pages with payload (binary), n_bytes, sha256, copy, record_type and refers_to."""
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("sha256", F.sha2("payload", 256))
-    first = rows.where(F.col("n_bytes") >= least).groupBy("sha256").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
-    rows = rows.join(first, "sha256", "left")
-    again = F.col("_first").isNotNull() & (F.col("_first") < F.col("page_id"))
-    return rows.select("page_id", "url", "payload", "n_bytes", "sha256", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
+    # Copies are found on narrow rows; payloads are dealt once, by page_id, as the archives need them.
+    narrow = rows.where(F.col("n_bytes") >= least).select("page_id", "sha256")
+    first = narrow.groupBy("sha256").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last")).where("first < _last").drop("_last")
+    again = narrow.join(first, "sha256").where("first < page_id").distinct()
+    again = again.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sha256", "first"))).alias("_again"))
+    rows = rows.join(again, "page_id", "left").withColumn("refers_to", F.try_element_at("_again", F.col("sha256")))
+    return rows.select("page_id", "url", "payload", "n_bytes", "sha256", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def _head(kind: str, page: int, copy: int, url: str | None, n: int, digest: str, refers: int | None) -> bytes:
@@ -59,10 +62,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST, chunk: int = CHUNK) -
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("sha256")).cast("long") - 1)
     none = F.col("record_type") == "revisit"
     parts = F.when(none, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk))).cast("int")
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
-    piece = F.when(none, F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk * {chunk} + 1, {chunk})"))
-    rows = rows.select("page_id", "copy", "url", "n_bytes", "sha256", "record_type", "refers_to", "chunk", piece.alias("piece"))
-    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "copy", "chunk")
+    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.when(none, F.lit(b"")).otherwise(F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk))))
+    rows = rows.select("page_id", "copy", "url", "n_bytes", "sha256", "record_type", "refers_to", F.posexplode(cut).alias("chunk", "piece"))
+    rows = rows.sortWithinPartitions("page_id", "copy", "chunk")  # the window has dealt them by page_id
 
     def task(batches):
         from pyarrow import fs
