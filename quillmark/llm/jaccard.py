@@ -38,6 +38,8 @@ from .components import components
 FRAGMENT_GRAMS, BLOCK_PAIRS = 2_000_000, 2_000_000
 #: A posting list's sets per salt.
 SALTED = 512
+#: Rounds in which a set meets sets of other components, and how many of them per posting.
+SAMPLED, REACH = 2, 12
 #: N-grams before a posting that are looked at so that a pair is made once; a pair made twice is counted once.
 EARLIER = 64
 #: Sets that may be broadcast by their 16 bytes each; with more, the join is shuffled.
@@ -333,6 +335,13 @@ def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     return materialize(partial.groupBy("part").applyInArrow(_linked(80), "a long, b long"), "links")
 
 
+def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings of n-grams that sets of two components or more hold, with their components."""
+    named = postings.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    mixed = named.groupBy("gram").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("gram")
+    return named.join(mixed, "gram").select("gram", "set", "n", "pos", "df", "root")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: least doc_id that links of a Jaccard similarity of 0.8 or more lead to."""
     spark = docs.sparkSession
@@ -357,12 +366,23 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     pairs = ahead.where(F.col("next_set").isNotNull() & _possible("", "next_"))
     links = count_pairs(sets, pairs.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct(), parts)
     roots = components(links)
-    named = postings.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = named.groupBy("gram").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("gram")
+    # Sets that their neighbours did not link meet a few random sets of other components, then all that bounds leave.
+    for round_ in range(SAMPLED):
+        named = _mixed(postings, roots)
+        salt = F.pmod(F.xxhash64("set", F.lit(round_)), F.ceil(F.col("df") / SALTED))
+        order = Window.partitionBy("gram", "_salt").orderBy(F.xxhash64("gram", "set", F.lit(round_)))
+        ahead = named.withColumn("_salt", salt)
+        reach = F.array(*(F.struct(*(F.lead(c, k).over(order).alias(c) for c in ("set", "n", "pos", "root"))) for k in range(1, REACH + 1)))
+        ahead = ahead.withColumn("_ahead", reach).select("*", F.explode("_ahead").alias("y")).where("y.root <> root")
+        ahead = ahead.select("set", "n", "pos", *(F.col(f"y.{c}").alias(f"next_{c}") for c in ("set", "n", "pos"))).where(_possible("", "next_"))
+        more = count_pairs(sets, ahead.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct(), parts)
+        if not more.count():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
     # A pair is made at the first n-gram that both share; the last EARLIER n-grams before a posting tell (nearly) all others.
     before = Window.partitionBy("set").orderBy("pos").rowsBetween(-EARLIER, -1)
-    named = named.join(mixed, "gram").select("gram", "set", "n", "pos", "root").withColumn("earlier", F.collect_list("gram").over(before))
-    named = materialize(named, "mixed-postings")
+    named = materialize(_mixed(postings, roots).withColumn("earlier", F.collect_list("gram").over(before)), "mixed-postings")
     x = named.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("set", "n", "pos", "root", "earlier")))
     y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "pos", "root", "earlier")))
     fits = (F.col("x_root") < F.col("y_root")) & _possible("x_", "y_") & ~F.arrays_overlap("x_earlier", "y_earlier")
