@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chroma, decontaminate, jaccard, packing, quality, repeats, sharding, token_files, toxicity, warc
 from .common import materialize, table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _held_out(n: int, rest: int):
@@ -70,5 +71,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op7_chroma_alignment, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-
-ORACLE_SQL: dict[str, str] = {}
