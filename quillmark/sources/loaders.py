@@ -29,7 +29,7 @@ def transcript_lines(spark: SparkSession, folders: list[tuple[str, str]]) -> Dat
     """source, path, off, line of all *.jsonl below the folders. A file is one split, so `off` follows its lines."""
     out = None
     for source, folder in folders:
-        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(folder)
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
         rows = lines.select(F.lit(source).alias("source"), F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_extract("value", r"(?s)\A(.*\n)", 1), "\n")).alias("off", "line")).where("line <> ''")
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else spark.createDataFrame([], "source string, path string, off int, line string")
@@ -42,7 +42,7 @@ def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def legacy_spool(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """One record per file, *.json and settled *.json.tmp: those that decode, and the rest for quarantine (broken .tmp files go)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     files = files.where(F.col("path").rlike(r"\.json(\.tmp)?$"))
     rows = files.withColumn("_d", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     ok = F.col("_d").isNotNull() & F.col("_d._bad").isNull()
