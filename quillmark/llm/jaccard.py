@@ -339,6 +339,7 @@ def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings of n-grams that sets of two components or more hold, with their components."""
     named = postings.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = named.groupBy("gram").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("gram")
+    mixed = materialize(mixed, "mixed-grams")  # both sides of the join are then plain exchanges, which a skewed join splits
     return named.join(mixed, "gram").select("gram", "set", "n", "pos", "df", "root")
 
 
@@ -394,7 +395,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     reps = known.where("alive and doc_id = rep").select("set", "rep").distinct()
     rooted = reps.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("_least"))
-    target = rooted.join(least, "root").where("_least <> rep").select("set", "_least")
+    target = materialize(rooted.join(least, "root").where("_least <> rep").select("set", "_least"), "component-roots")
     out = known.join(target, "set", "left")
     own_id = F.when(F.col("set") != 0, F.col("rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", own_id)).alias("component_id"))

@@ -39,6 +39,7 @@ def classified(pages: DataFrame, least: int = LEAST) -> DataFrame:
     # Copies are found on narrow rows; payloads are dealt once, by page_id, as the archives need them.
     narrow = rows.where(F.col("n_bytes") >= least).select("page_id", "sha256")
     first = narrow.groupBy("sha256").agg(F.min("page_id").alias("first"), F.max("page_id").alias("_last")).where("first < _last").drop("_last")
+    first = materialize(first, "warc-copies")  # so that the join may split the rows of one payload
     again = narrow.join(first, "sha256").where("first < page_id").distinct()
     again = again.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sha256", "first"))).alias("_again"))
     rows = rows.join(again, "page_id", "left").withColumn("refers_to", F.try_element_at("_again", F.col("sha256")))
