@@ -84,7 +84,7 @@ def matches(auto, text: str) -> list[tuple[int, int, float]]:
 
 def measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns `keep`, and per whole text: n_words, n_terms, total (weights found)."""
-    given = docs.select(*keep, "text")
+    given = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = given.select(*keep).schema.add("n_words", "long").add("n_terms", "long").add("total", "double")
 
     def task(batches):
@@ -127,8 +127,8 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_pydict({"word": pa.array(w, pa.string()), "toxic": pa.array([toxic[x] for x in w], pa.int64()), "clean": pa.array([clean[x] for x in w], pa.int64())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 20_000, terms: int = 3_000, least: int = 4, sure: float = 3.0) -> Lexicon:
-    """A lexicon of at most `terms` terms of at least `least` documents of label 1, whose log odds stand `sure` errors above zero."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 20_000, terms: int = 3_000, least: int = 4, sure: float = 3.0, strong: float = 2.5) -> Lexicon:
+    """A lexicon of at most `terms` terms of at least `least` documents of label 1, whose log odds are `strong` or more and stand `sure` errors above zero."""
     from .common import materialize
 
     rows = materialize(sample_labelled(docs, labels, label, sample), "toxic-sample")
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(t / (bad + 1)) - F.log(c / (good + 1))
     counted = rows.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counted.withColumn("weight", odds).withColumn("z", F.col("weight") / F.sqrt(1 / t + 1 / c)).where((F.col("toxic") >= least) & (F.col("z") >= sure))
+    found = counted.withColumn("weight", odds).withColumn("z", F.col("weight") / F.sqrt(1 / t + 1 / c)).where((F.col("toxic") >= least) & (F.col("z") >= sure) & (F.col("weight") >= strong))
     weights = {r.word: float(r.weight) for r in found.orderBy(F.desc("z"), "word").limit(terms).collect()}
     lexicon = Lexicon(weights, EXCEPTIONS)
     measured = measure(rows, lexicon, ["label"]).select("label", "n_words", "total").toPandas()  # at most `sample` rows of three numbers
