@@ -159,9 +159,10 @@ def budgeted(prompts, each: int = 400, total: int = 1500) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["kept"])
 
 
-def count_of(text, word: str) -> Column:
+def count_of(text, word) -> Column:
     """Occurrences of a substring, none overlapping."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    word = F.lit(word) if isinstance(word, str) else word
+    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
 
 
 def versioned(name: str) -> str:

@@ -29,6 +29,8 @@ class Backend(Protocol):
 
 @dataclass
 class KeywordBackend:
+    #: Columns alone: Spark skips what `when` skips, so gated rows need no split.
+    native = True
     words: dict[str, dict[str, list[str]]] = field(default_factory=lambda: {"task_type": vocab.TASK_WORDS, "speech_act": vocab.SPEECH_WORDS, "domain": vocab.DOMAIN_WORDS})
 
     def classify(self, text: Column, task: str, labels: list[str]) -> Column:
@@ -37,10 +39,20 @@ class KeywordBackend:
         if known is None:
             return F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("confidence")))
         lower = F.lower(F.coalesce(text, F.lit("")))
-        votes = F.array(*(F.struct(sum((T.count_of(lower, w) for w in known.get(x, [])), F.lit(0)).cast("int").alias("n"), F.lit(-i).alias("at"), F.lit(x).alias("label")) for i, x in enumerate(labels)))
-        best = F.array_max(votes)
+        listed = F.array(*(F.array(*map(F.lit, known.get(x, []))).cast("array<string>") for x in labels))
+
+        def vote(words: Column, i: Column) -> Column:
+            n = F.aggregate(words, F.lit(0), lambda total, w: total + T.count_of(lower, w))
+            return F.struct(n.alias("n"), (-i).alias("at"), F.element_at(F.array(*map(F.lit, labels)), i + 1).alias("label"))
+
+        votes = F.transform(listed, vote)
         fallback = next((x for x in labels if x in ("other", "general")), labels[-1] if labels else "")
-        return F.array(F.struct(F.when(best["n"] > 0, best["label"]).otherwise(fallback).alias("label"), F.when(best["n"] > 0, 0.6 + 0.1 * F.least(best["n"], F.lit(4))).otherwise(0.5).alias("confidence")))
+
+        def ranked(best: Column) -> Column:
+            some = best["n"] > 0
+            return F.struct(F.when(some, best["label"]).otherwise(fallback).alias("label"), F.when(some, 0.6 + 0.1 * F.least(best["n"], F.lit(4))).otherwise(0.5).alias("confidence"))
+
+        return F.transform(F.array(F.array_max(votes)), ranked)  # the votes are counted once
 
     def multi(self, text: Column, labels: list[str], threshold: float) -> Column:
         lower = F.lower(F.coalesce(text, F.lit("")))
@@ -61,9 +73,9 @@ def top(ranked: Column, ids: dict[str, str], labels: list[str], name: str) -> Co
     if not labels:
         return empty(T.versioned(name))
     by_text = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    found = F.struct(F.coalesce(by_text[F.try_element_at(ranked, F.lit(1))["label"]], F.lit("")).alias("value"), F.try_element_at(ranked, F.lit(1))["confidence"].alias("confidence"), F.lit(T.versioned(name)).alias("producer"))
+    found = F.transform(ranked, lambda r: F.struct(F.coalesce(by_text[r["label"]], F.lit("")).alias("value"), r["confidence"].alias("confidence"), F.lit(T.versioned(name)).alias("producer")))
     none = F.struct(F.lit(ids[labels[0]]).alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("producer"))
-    return F.when(F.size(ranked) == 0, none).otherwise(found)
+    return F.coalesce(F.try_element_at(found, F.lit(1)), none)
 
 
 def alternates(ranked: Column, ids: dict[str, str]) -> Column:
@@ -176,21 +188,27 @@ def profiles(rows: DataFrame, backend: Backend | None = None, gating: bool = Tru
     first = first.withColumn("sensitivity", labeled(F.coalesce("_class", F.lit("none")), F.when(F.col("_class").isNotNull(), 1.0).otherwise(0.0), T.versioned("sensitivity")))
     first = first.withColumn("gated", (T.content_free("text") | (F.col("speech_act.value") == "fragment")) if gating else F.lit(False))
     coding = F.col("source").isin(vocab.CONTEXT_SOURCES)
-    run = first.where(~F.col("gated"))
-    run = run.withColumn("task_type", facet("task_type", vocab.TASK_TYPES, context)).withColumn("domain", facet("domain", vocab.DOMAINS, raw))
-    run = run.withColumn("activity_type", facet("activity_type", vocab.ACTIVITIES, context)).withColumn("personal", facet("personal", vocab.PERSONAL, context))
-    run = run.withColumn("function_guess", F.when(coding, labeled(F.lit("eng"), F.lit(1.0), T.versioned("function_guess"))).otherwise(facet("function_guess", vocab.FUNCTIONS, context)))
+    native = getattr(backend, "native", False)
+    run, open_ = (first, ~F.col("gated")) if native else (first.where(~F.col("gated")), F.lit(True))
+
+    def gated(x: Column) -> Column:
+        return F.when(open_, x)
+
+    run = run.withColumn("task_type", gated(facet("task_type", vocab.TASK_TYPES, context))).withColumn("domain", gated(facet("domain", vocab.DOMAINS, raw)))
+    run = run.withColumn("activity_type", gated(facet("activity_type", vocab.ACTIVITIES, context))).withColumn("personal", gated(facet("personal", vocab.PERSONAL, context)))
+    run = run.withColumn("function_guess", gated(F.when(coding, labeled(F.lit("eng"), F.lit(1.0), T.versioned("function_guess"))).otherwise(facet("function_guess", vocab.FUNCTIONS, context))))
     subsets = {k: {f"{k}.{s}": t for s, t in v.items()} for k, v in vocab.SUBCATEGORIES.items()}
-    run = run.withColumn("subcategory", conditioned(lambda labels: backend.classify(context, "subcategory", labels), F.col("function_guess.value"), subsets, "subcategory"))
-    held = first.where("gated")
-    for name in FACETS:
-        held = held.withColumn(name, F.lit(None).cast(LABELED))
+    run = run.withColumn("subcategory", gated(conditioned(lambda labels: backend.classify(context, "subcategory", labels), F.col("function_guess.value"), subsets, "subcategory")))
     facets = {name: F.col(f"{name}.value") for name in (*FACETS, "speech_act", "sensitivity")}
     entries = [F.struct(F.lit(p.key).alias("key"), custom(p, raw, backend, facets).alias("value")) for p in screen(list(customs))[0]]
     if entries:
-        run = run.withColumn("custom", F.map_from_entries(F.array(*entries)))
-        held = held.withColumn("custom", F.lit(None).cast(run.schema["custom"].dataType))
-    both = run.unionByName(held)
+        run = run.withColumn("custom", gated(F.map_from_entries(F.array(*entries))))
+    both = run
+    if not native:
+        held = first.where("gated")
+        for name in (*FACETS, *(["custom"] if entries else [])):
+            held = held.withColumn(name, F.lit(None).cast(run.schema[name].dataType))
+        both = run.unionByName(held)
     return both.select(
         *keep, F.when(F.col("gated"), "gated").otherwise("enriched").alias("status"), "speech_act", "sensitivity", sensitivity.masked("spans").alias("spans"), *FACETS,
         F.coalesce(F.length("text"), F.lit(0)).alias("prompt_chars"), F.lit(vocab.SCHEMA_VERSION).alias("schema_version"), *(["custom"] if entries else []),
