@@ -14,7 +14,6 @@ def components(links: DataFrame) -> DataFrame:
     Each step is grouped minima and joins on a node, so a node of very many links is pre-aggregated or split, never held.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")  # so that the join may split a root's many links
@@ -22,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Done when every node hangs on one root and no root on anything.
+        n, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+        if n == nodes and edges.join(edges.select(F.col("u").alias("_r")), F.col("v") == F.col("_r"), "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now

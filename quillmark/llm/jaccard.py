@@ -39,7 +39,7 @@ FRAGMENT_GRAMS, BLOCK_PAIRS = 2_000_000, 2_000_000
 #: A posting list's sets per salt.
 SALTED = 512
 #: Rounds in which a set meets sets of other components, and how many of them per posting.
-SAMPLED, REACH = 2, 12
+SAMPLED, REACH = 1, 24
 #: N-grams before a posting that are looked at so that a pair is made once; a pair made twice is counted once.
 EARLIER = 64
 #: Sets that may be broadcast by their 16 bytes each; with more, the join is shuffled.
