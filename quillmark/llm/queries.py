@@ -51,7 +51,7 @@ def op7_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = chroma.media_of(table(spark, sf_dir, "embeddings"))
     found = materialize(chroma.fingerprints(media, chroma.fit(media)), "chroma-prints")
     asked = found.where("rec_id % 50 = 0").select("rec_id").distinct()
-    return chroma.summary(asked, chroma.search(found, asked))
+    return chroma.aligned(found, asked)
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,25 @@ def test_chroma_alignment_recall(spark):
     assert chroma.search(found.limit(0), asked.limit(0)).count() == 0
 
 
+def test_chroma_query_returns_all_pairs_and_members(spark, tmp_path):
+    from quillmark.llm.queries import op7_chroma_alignment
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 0.125, (60, 64))
+    near = v[0] + rng.normal(0, 0.012, (5, 64))
+    vectors = {i: x.tolist() for i, x in enumerate(v)} | {100 + i: x.tolist() for i, x in enumerate(near)} | {200: v[0].tolist(), 205: v[0].tolist(), 300: None}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = op7_chroma_alignment(spark, str(tmp_path)).collect()
+    members = {r.rec_id: r["class"] for r in got if r.kind == "member"}
+    assert sorted(members) == sorted(vectors) and members[300] is None
+    assert members[0] == members[200] == members[205] != members[1]
+    pairs = {(r.rec_id, r.match_class) for r in got if r.kind == "pair"}
+    assert len({c for q, c in pairs if q == 0}) > 2  # itself and more than the nearest one
+    assert all((q, members[q]) in pairs for q in (0, 50, 100, 200)) and {c for q, c in pairs if q == 0} == {c for q, c in pairs if q == 200}
+    assert all(r.match_size == sum(c == r.match_class for c in members.values()) for r in got if r.kind == "pair")
+    assert not any(chroma.tune(vectors[3], 3)[: 3 * 2 * chroma.HOP]) and len(chroma.tune(vectors[3], 3)) == 2 * 67 * chroma.HOP
+
+
 def test_chroma_of_a_tone():
     t = np.arange(2048) / chroma.RATE
     image = chroma.chroma(9000 * np.sin(2 * np.pi * 220 * t))
