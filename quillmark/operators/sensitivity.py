@@ -1,4 +1,4 @@
-"""Entities, masks and the sensitivity class of texts: native columns only."""
+"""Entities, masks and the sensitivity class of texts: native columns, and the credential rules' Arrow UDF."""
 
 from __future__ import annotations
 
@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import scalars, vocab
+from . import credentials
 
 LABELS = ["email", "ssn", "credit_card", "phone", "api_key", "secret"]
 
 
 def spans(text, labels: list[str] | None = None) -> Column:
-    """array<struct<label, text, start, confidence>> of all detectors, placeholders left out; start is the first occurrence."""
+    """array<struct<label, text, start, confidence>> of all detectors, placeholders left out: entities at their first occurrence,
+    then each credential as an api_key where it stands, also where an entity covers it."""
+    labels = LABELS if labels is None else labels
 
     def of(label: str) -> Column:
         return F.transform(T.entities(text, label), lambda x: F.struct(F.lit(label).alias("label"), x.alias("text"), scalars.first_offset(text, x).alias("start"), F.lit(0.95).alias("confidence")))
 
-    return F.filter(F.concat(*map(of, labels or LABELS)), lambda e: ~T.is_placeholder(e["text"]))
+    found = [of(label) for label in labels]
+    if "api_key" in labels:
+        cut = lambda s: F.substring(T.col(text), s["start"] + 1, s["end"] - s["start"])
+        found.append(F.transform(credentials.detect(text), lambda s: F.struct(F.lit("api_key").alias("label"), cut(s).alias("text"), s["start"].alias("start"), F.lit(1.0).alias("confidence"))))
+    return F.filter(F.concat(*found), lambda e: ~T.is_placeholder(e["text"]))
 
 
 def masked(found) -> Column:

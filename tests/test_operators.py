@@ -138,6 +138,20 @@ def test_credentials(spark, tmp_path):
     assert [(s.rule, s.start, s.end) for s in found] == [("one", 2, 6)]
 
 
+def test_credentials_make_a_text_secret(spark):
+    tail = "a1B2c3D4e5F6g7H8i9J0"
+    keys = ["xoxb-123456789012-123456789012" + tail, "glpat-" + tail, "gho_" + tail + "k1L2m3N4o5P6q7R8", "sk_live_" + tail, f"ey{tail}.ey{tail}.{tail}", "-----BEGIN RSA PRIVATE KEY-----\n" + tail * 5 + "\n-----END RSA PRIVATE KEY-----"]
+    texts = [f"é {k} here" for k in keys] + ["ssn 123-45-6789 " + keys[1], "glpat-" + "x" * 20, "nothing", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r for r in sensitivity.classify(df).collect()}
+    assert [got[i].sensitivity for i in range(len(texts))] == ["secrets"] * 6 + ["phi", "none", "none", "none"]
+    for i, k in enumerate(keys):
+        s = [x for x in got[i].spans if x.label == "api_key" and x.confidence == 1.0]
+        assert [(x.start, x.masked) for x in s] == [(2, "…" + k[-4:])]
+    rows = df.withColumn("source", F.lit("codex")).withColumn("meta", meta())
+    assert {r.i: r.sensitivity.value for r in passes.profiles(rows).collect()} == {i: r.sensitivity for i, r in got.items()}
+
+
 def meta():
     none = F.lit("")
     return F.struct(none.alias("repo"), none.alias("branch"), none.alias("project"), none.alias("tool"), F.array().cast("array<string>").alias("recent_prompts"))
