@@ -2,8 +2,9 @@
 
 Every suffix of a document's words that has at least `window` words belongs to the group of its prefix. Prefixes are of
 variable length: a suffix's ends with the first marker (a run of three words whose hash says so) at or after its start, or
-after `window` words if there is none. No prefix is the start of another, equal windows have equal prefixes, and groups are
-of memory size since their number follows the text. A group's subtree is kept at the depth that matters: its nodes of depth
+after `window` words if there is none. The suffixes that go to each of BUCKETS ranges of prefixes a group are counted first; in
+a range of more than HEAVY, as before a line that very many documents hold, prefixes are lengthened to the whole window. So
+equal windows have equal prefixes, and groups are of memory size. A group's subtree is kept at the depth that matters: its nodes of depth
 `window` are told by 64-bit hashes of the windows. A node that holds suffixes of two documents lies on a maximal repeat;
 joining a document's windows at such nodes gives the repeats' spans.
 
@@ -29,6 +30,8 @@ from .common import K1, K2, U64, Words, blob, fragments, joined, mix, ragged, sc
 WINDOW, MARKER, DENSITY = 50, 3, 16
 #: Text that a task judges at a time, and text behind a group; a suffix takes some 60 bytes of a worker's memory.
 SLICE, GROUP = 4 << 20, 12 << 20
+#: Ranges of prefixes in a group, and suffixes in one beyond which prefixes are whole windows (twice the mean of full groups).
+BUCKETS, HEAVY = 8, 1 << 19
 _RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 RUNS = "part int, kind int, docs binary, rows binary, starts binary, lengths binary, hashes binary"
@@ -56,28 +59,63 @@ def _suffixes(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.
     return at, words.row()[at], mix(prefix * K1), g[at]
 
 
-def _send(window: int, parts: int):
+def _thinned(run: pa.RecordBatch, window: int):
+    """Of a slice with a suffix of a window: words, ids, row keys, `_suffixes` of rows with an id, and which are known repeats; else None."""
+    words = Words(run.column("text"), lower=False)
+    h = words.hashes()
+    if len(h) < window:
+        return None
+    ids = run.column("doc_id")
+    doc, missing = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+    at, row, prefix, g = _suffixes(words, h, window)
+    ok = ~missing[row]
+    at, row, prefix, g = at[ok], row[ok], prefix[ok], g[ok]
+    if not len(at):
+        return None
+    order = np.argsort(g, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+    least = np.repeat(np.minimum.reduceat(doc[row][order], head), np.diff(np.append(head, len(g))))
+    known = np.zeros(len(g), bool)
+    known[order] = doc[row][order] > least
+    return words, doc, _row_keys(h, words.off, doc), at, row, prefix, g, known
+
+
+def _count(window: int, buckets: int):
+    """Suffixes that each slice sends, by range of prefixes."""
+
     def task(batches):
         for batch in batches:
             for run in slices(batch, limit=SLICE):
-                words = Words(run.column("text"), lower=False)
-                h = words.hashes()
-                if len(h) < window:
-                    continue
-                ids = run.column("doc_id")
-                doc, missing = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
-                keys = _row_keys(h, words.off, doc)
-                at, row, prefix, g = _suffixes(words, h, window)
-                ok = ~missing[row]
-                at, row, prefix, g = at[ok], row[ok], prefix[ok], g[ok]
-                if not len(at):
+                got = _thinned(run, window)
+                if got is not None:
+                    *_, prefix, _, known = got
+                    where, n = np.unique(scaled(prefix[~known], buckets), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    return task
+
+
+def _heavy(docs: DataFrame, window: int, buckets: int, most: int) -> np.ndarray:
+    """Ranges of more than `most` suffixes, ascending; no more of them than the text has words / most."""
+    counts = docs.mapInArrow(_count(window, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.bucket for r in counts.where(F.col("n") > most).select("bucket").collect()], np.int64))
+
+
+def _parts(prefix: np.ndarray, g: np.ndarray, parts: int, heavy: np.ndarray) -> np.ndarray:
+    """The group of each suffix: that of its prefix, or of its window in a heavy range."""
+    long = np.isin(scaled(prefix, parts * BUCKETS), heavy)
+    return scaled(np.where(long, mix(g * K1), prefix), parts)
+
+
+def _send(window: int, parts: int, heavy: np.ndarray):
+    def task(batches):
+        for batch in batches:
+            for run in slices(batch, limit=SLICE):
+                got = _thinned(run, window)
+                if got is None:
                     continue
-                order = np.argsort(g, kind="stable")
-                head = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
-                least = np.repeat(np.minimum.reduceat(doc[row][order], head), np.diff(np.append(head, len(g))))
-                known = np.zeros(len(g), bool)
-                known[order] = doc[row][order] > least
-                part = np.where(known, parts, scaled(prefix, parts))
+                words, doc, keys, at, row, prefix, g, known = got
+                part = np.where(known, parts, _parts(prefix, g, parts, heavy))
                 # Runs of neighbouring suffixes of one document and group.
                 first = np.concatenate([[True], (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
                 start = np.flatnonzero(first)
@@ -127,11 +165,12 @@ def _judge(window: int):
     return task
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, heavy: int = HEAVY) -> DataFrame:
     """doc_id, row_key and spans [start, end) in words that repeat a window of a document of smaller doc_id; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = fragments(text_bytes(docs), docs.sparkSession, GROUP)
-    return docs.mapInArrow(_send(window, parts), RUNS).groupBy("part").applyInArrow(_judge(window), SPANS)
+    long = _heavy(docs, window, parts * BUCKETS, heavy)
+    return docs.mapInArrow(_send(window, parts, long), RUNS).groupBy("part").applyInArrow(_judge(window), SPANS)
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:

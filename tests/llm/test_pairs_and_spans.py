@@ -100,6 +100,32 @@ def test_repeats_are_the_brute_force(spark, seed):
         assert sum(s.end - s.start for s in r._spans) == r._n_removed
 
 
+def test_repeats_split_the_suffixes_before_a_frequent_line(spark):
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(4)
+    line = [f"l{i}" for i in range(40)]  # shorter than a window, so the windows differ
+    tail = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join([*(f"a{rng.randrange(10**9)}" for _ in range(60)), *line, *(f"b{rng.randrange(10**9)}" for _ in range(60)), *(tail if i % 100 == 0 else [])])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts, sent, runs = 16, {}, {}
+    for most in (100, repeats.HEAVY):
+        heavy = repeats._heavy(docs, 50, parts * repeats.BUCKETS, most)
+        assert (len(heavy) > 0) == (most == 100)
+        got = docs.mapInArrow(repeats._send(50, parts, heavy), repeats.RUNS).where("kind = 0").collect()
+        sent[most] = Counter()
+        for r in got:
+            sent[most][r.part] += int(np.frombuffer(r.lengths, "<u4").sum())
+        runs[most] = sorted({tuple(r) for r in repeats.repeated_spans(docs, heavy=most).selectExpr("doc_id", "row_key", "explode(sequence(start, end - 1)) as word").collect()})
+    assert sum(sent[100].values()) == sum(sent[repeats.HEAVY].values())
+    mean = sum(sent[100].values()) / parts
+    assert max(sent[100].values()) < 1.5 * mean < max(sent[repeats.HEAVY].values())
+    assert runs[100] == runs[repeats.HEAVY] and len(runs[100]) == 3 * 60
+
+
 def test_repeats_empty(spark):
     assert repeats.remove(frame(spark, []).select("doc_id", "text")).count() == 0
 
