@@ -1,4 +1,4 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by prefix-partitioned suffixes; hashes of windows stand in for the suffix trees, none is built.
 
 Every suffix of a document's words that has at least `window` words belongs to the group of its prefix. Prefixes are of
 variable length: a suffix's ends with the first marker (a run of three words whose hash says so) at or after its start, or
