@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +38,17 @@ def trimmed(c) -> Column:
     return F.regexp_replace(col(c), f"^{_GO_SPACE}+|{_GO_SPACE}+$", "")
 
 
+def letters(c) -> Column:
+    """Runs of a to z in the lower-cased text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+
+
 def content_free(c, most: int = 5) -> Column:
-    """A short turn of approval words only."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    """A short turn of approval words only. A text of more words is told by its first ones, without listing all."""
+    text = F.lower(F.coalesce(col(c), F.lit("")))
     approved = F.array(*map(F.lit, dict.fromkeys(vocab.APPROVALS)))
-    return F.size(tokens).between(1, most) & (F.size(F.array_except(tokens, approved)) == 0)
+    longer = text.rlike(rf"\A[^a-z]*+(?:[a-z]++[^a-z]++){{{most}}}[a-z]")
+    return F.when(longer, False).otherwise((F.size(letters(c)) > 0) & (F.size(F.array_except(letters(c), approved)) == 0))
 
 
 def is_placeholder(c) -> Column:
@@ -96,7 +105,14 @@ def luhn(c) -> Column:
 
 
 def entities(c, label: str) -> Column:
-    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(vocab.ENTITY_PATTERNS[label]), F.lit(0))
+    """Texts of one kind. A cheap sign of it is looked for before the pattern runs."""
+    text = F.coalesce(col(c), F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(vocab.ENTITY_PATTERNS[label]), F.lit(0))
+    if label in vocab.ENTITY_SIGNS:
+        sign = reduce(or_, (F.contains(text, F.lit(x)) for x in vocab.ENTITY_SIGNS[label]))
+    else:
+        sign = text.rlike(vocab.ENTITY_HINTS[label])
+    found = F.when(sign, found).otherwise(F.array().cast("array<string>"))
     return F.filter(found, luhn) if label == "credit_card" else found
 
 
@@ -159,12 +175,6 @@ def budgeted(prompts, each: int = 400, total: int = 1500) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["kept"])
 
 
-def count_of(text, word) -> Column:
-    """Occurrences of a substring, none overlapping."""
-    word = F.lit(word) if isinstance(word, str) else word
-    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
-
-
 def versioned(name: str) -> str:
     return f"{name}-v{vocab.SCHEMA_VERSION}"
 

@@ -1,16 +1,18 @@
 """Enrichment passes: a model backend behind columns, gated, staged and masked.
 
 A backend turns a text column into ranked labels and entities as columns. `KeywordBackend` votes by words and finds entities
-by patterns: a rule-based stand-in, natively in Spark. A learned model plugs in as a backend whose `classify` is a pandas UDF;
-since Spark evaluates such a UDF for every row, gated rows are split off before it, not masked after.
+by word lists and patterns: a rule-based stand-in, natively in Spark. `ModelBackend` runs a learned model in iterator pandas
+UDFs, loads it once per worker, brings its answers into one shape and tells failed rows by null. Since Spark evaluates such a
+UDF for every row, gated rows are split off before it, not masked after.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,26 @@ from ..functions import scalars, vocab
 from . import sensitivity
 
 RANKED = "array<struct<label:string,confidence:double>>"
+FOUND = sensitivity.FOUND
 LABELED = "struct<value:string,confidence:double,producer:string>"
 
 
 class Backend(Protocol):
-    def classify(self, text: Column, task: str, labels: list[str]) -> Column:
-        """RANKED, best first."""
+    def view(self, text: Column) -> Column:
+        """What classify looks at, computed once for all tasks on one text."""
+
+    def prefixed(self, prefix: Column, text: Column, seen: Column) -> Column:
+        """The view of a text after a prefix; seen: the text's own view."""
+
+    def classify(self, seen: Column, task: str, labels: list[str]) -> Column:
+        """RANKED, best first; null where the model failed."""
+
+    def entities(self, text: Column, labels: list[str], seen: Column | None = None) -> Column:
+        """FOUND; null where the model failed."""
+
+
+def _texts(*values: str) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
 @dataclass
@@ -33,26 +49,44 @@ class KeywordBackend:
     native = True
     words: dict[str, dict[str, list[str]]] = field(default_factory=lambda: {"task_type": vocab.TASK_WORDS, "speech_act": vocab.SPEECH_WORDS, "domain": vocab.DOMAIN_WORDS})
 
-    def classify(self, text: Column, task: str, labels: list[str]) -> Column:
-        """Most occurrences win, the first label of the list among equals; without words for a task it abstains."""
+    def view(self, text: Column) -> Column:
+        """The words of any list, in order: the texts are gone through once and votes look at few words."""
+        known = dict.fromkeys(w for lists in (*self.words.values(), vocab.DOMAIN_ENTITY_WORDS) for words in lists.values() for w in words)
+        tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]+|\?"), F.lit(0))
+        return F.filter(tokens, lambda x: x.isin(*known))
+
+    def prefixed(self, prefix: Column, text: Column, seen: Column) -> Column:
+        return F.concat(self.view(prefix), seen)
+
+    def classify(self, seen: Column, task: str, labels: list[str]) -> Column:
+        """Labels with votes, most first, the first of the list among equals; without any the general or last label; without words for a task it abstains."""
         known = self.words.get(task)
         if known is None:
             return F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("confidence")))
-        lower = F.lower(F.coalesce(text, F.lit("")))
-        listed = F.array(*(F.array(*map(F.lit, known.get(x, []))).cast("array<string>") for x in labels))
+        fallback = next((x for x in labels if x in ("other", "general")), labels[-1] if labels else "")
 
-        def vote(words: Column, i: Column) -> Column:
-            n = F.aggregate(words, F.lit(0), lambda total, w: total + T.count_of(lower, w))
-            return F.struct(n.alias("n"), (-i).alias("at"), F.element_at(F.array(*map(F.lit, labels)), i + 1).alias("label"))
+        def vote(i: int, x: str) -> Column:
+            n = F.size(F.filter(seen, lambda w: w.isin(*known[x])))
+            return F.struct((-n).alias("n"), F.lit(i).alias("at"), F.lit(x).alias("label"))
 
-        votes = F.transform(listed, vote)
-        fallback = next((x for x in labels if x in ("other", "general")), labels[-1] if labels else "")
+        votes = [vote(i, x) for i, x in enumerate(labels) if known.get(x)]
+        none = F.array(F.struct(F.lit(fallback).alias("label"), F.lit(0.5).alias("confidence")))
+        if not votes:
+            return none
+        ranked = F.transform(F.array_sort(F.filter(F.array(*votes), lambda v: v["n"] < 0)), lambda v: F.struct(v["label"].alias("label"), (0.6 + 0.1 * F.least(-v["n"], F.lit(4))).alias("confidence")))
+        return F.when(F.size(seen) == 0, none).otherwise(F.transform(F.array(ranked), lambda r: F.when(F.size(r) == 0, none).otherwise(r))[0])
+
+    def entities(self, text: Column, labels: list[str], seen: Column | None = None) -> Column:
+        """Words of the lists where they first stand, in the lists' order; labels with a pattern by it."""
+        lower, seen = F.lower(F.coalesce(text, F.lit(""))), self.view(text) if seen is None else seen
 
-        def ranked(best: Column) -> Column:
-            some = best["n"] > 0
-            return F.struct(F.when(some, best["label"]).otherwise(fallback).alias("label"), F.when(some, 0.6 + 0.1 * F.least(best["n"], F.lit(4))).otherwise(0.5).alias("confidence"))
+        def of(label: str) -> Column:
+            if label in vocab.ENTITY_PATTERNS:
+                return F.transform(T.entities(text, label), lambda x: F.struct(F.lit(label).alias("label"), x.alias("text"), scalars.first_offset(text, x).alias("start"), F.lit(0.95).alias("confidence")))
+            hits = F.array_intersect(_texts(*vocab.DOMAIN_ENTITY_WORDS.get(label, [])), seen)
+            return F.transform(hits, lambda x: F.struct(F.lit(label).alias("label"), x.alias("text"), scalars.first_offset(lower, x).alias("start"), F.lit(0.9).alias("confidence")))
 
-        return F.transform(F.array(F.array_max(votes)), ranked)  # the votes are counted once
+        return F.concat(*(of(x) for x in labels)) if labels else F.array().cast(FOUND)
 
     def multi(self, text: Column, labels: list[str], threshold: float) -> Column:
         lower = F.lower(F.coalesce(text, F.lit("")))
@@ -60,6 +94,84 @@ class KeywordBackend:
         return F.filter(scored, lambda r: (r["confidence"] > 0) & (r["confidence"] >= threshold))
 
 
+def normalise(answer: Any) -> list[tuple[str | None, float]]:
+    """A model's answer as ranked (label, confidence): a label, a dict, or a list of labels, pairs or dicts. An empty one: no label at 0."""
+
+    def one(entry: Any) -> list[tuple[str | None, float]]:
+        if isinstance(entry, str):
+            return [(entry, 1.0)]
+        if isinstance(entry, dict):
+            score = next((entry[k] for k in ("confidence", "score", "probability") if entry.get(k) is not None), 1.0)
+            return [(entry.get("label"), float(score))]
+        if isinstance(entry, (list, tuple)) and len(entry) >= 2:
+            return [(entry[0], float(entry[1]))]
+        return []
+
+    found = [x for entry in answer for x in one(entry)] if isinstance(answer, (list, tuple)) else one(answer)
+    return found or [(None, 0.0)]
+
+
+class Model(Protocol):
+    """What a loader returns. Both take a batch of texts and answer for each."""
+
+    def classify(self, texts: list[str], task: str, labels: list[str]) -> list[Any]: ...
+
+    def entities(self, texts: list[str], labels: list[str]) -> list[list[dict]]: ...
+
+
+@dataclass
+class ModelBackend:
+    """A learned model: `load` runs once per worker. A batch that fails is tried row by row; a row that fails is null."""
+
+    load: Callable[[], Model]
+    batch: int = 64
+    native = False
+
+    def view(self, text: Column) -> Column:
+        return F.coalesce(text, F.lit(""))
+
+    def prefixed(self, prefix: Column, text: Column, seen: Column) -> Column:
+        return F.concat(prefix, seen)
+
+    def _udf(self, ask: Callable[[Any, list[str]], list[Any]], shape: Callable[[Any, str], Any], returns: str):
+        load, size = self.load, self.batch
+
+        @F.pandas_udf(returns)
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = None
+            for texts in parts:
+                out: list[Any] = []
+                for lo in range(0, len(texts), size):
+                    held = texts.iloc[lo : lo + size].tolist()
+                    try:
+                        model = load() if model is None else model
+                        got = [shape(a, t) for a, t in zip(ask(model, held), held, strict=True)]
+                    except Exception:  # noqa: BLE001  a model's failure is a null answer, never a failed job
+                        got = []
+                        for t in held:
+                            try:
+                                model = load() if model is None else model
+                                got.append(shape(ask(model, [t])[0], t))
+                            except Exception:  # noqa: BLE001
+                                got.append(None)
+                    out += got
+                yield pd.Series(out, dtype=object)
+
+        return run
+
+    def classify(self, seen: Column, task: str, labels: list[str]) -> Column:
+        ask = lambda model, texts: model.classify(texts, task, labels)
+        return self._udf(ask, lambda a, _: [{"label": k, "confidence": c} for k, c in normalise(a)], RANKED)(seen)
+
+    def entities(self, text: Column, labels: list[str], seen: Column | None = None) -> Column:
+        ask = lambda model, texts: model.entities(texts, labels)
+        shape = lambda a, t: [{"label": e["label"], "text": e["text"], "start": int(e.get("start", t.find(e["text"]))), "confidence": float(e.get("confidence", 0.0))} for e in a]
+        return self._udf(ask, shape, FOUND)(F.coalesce(text, F.lit("")))
+
+    def multi(self, text: Column, labels: list[str], threshold: float) -> Column:
+        return F.filter(self.classify(self.view(text), "multi_label", labels), lambda r: r["confidence"] >= threshold)
+
+
 def labeled(value, confidence, producer: str) -> Column:
     return F.struct(T.col(value).cast("string").alias("value"), T.col(confidence).cast("double").alias("confidence"), F.lit(producer).alias("producer"))
 
@@ -68,19 +180,23 @@ def empty(producer: str) -> Column:
     return labeled(F.lit(""), F.lit(0.0), producer)
 
 
+def _ids(ids: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+
+
 def top(ranked: Column, ids: dict[str, str], labels: list[str], name: str) -> Column:
-    """The best label as an id. No labels at all: empty. Nothing ranked: the first label, without confidence or producer."""
+    """The best label as an id. No labels at all, or a failed model: empty. Nothing ranked: the first label, without confidence or producer."""
     if not labels:
         return empty(T.versioned(name))
-    by_text = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    found = F.transform(ranked, lambda r: F.struct(F.coalesce(by_text[r["label"]], F.lit("")).alias("value"), r["confidence"].alias("confidence"), F.lit(T.versioned(name)).alias("producer")))
+    found = F.transform(ranked, lambda r: F.struct(F.coalesce(_ids(ids)[r["label"]], F.lit("")).alias("value"), r["confidence"].alias("confidence"), F.lit(T.versioned(name)).alias("producer")))
     none = F.struct(F.lit(ids[labels[0]]).alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("producer"))
-    return F.coalesce(F.try_element_at(found, F.lit(1)), none)
+    return F.when(ranked.isNull(), empty(T.versioned(name))).otherwise(F.coalesce(F.try_element_at(found, F.lit(1)), none))
 
 
 def alternates(ranked: Column, ids: dict[str, str]) -> Column:
-    by_text = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-    return F.transform(F.slice(ranked, 2, 1_000_000), lambda r: F.struct(by_text[r["label"]].alias("value"), r["confidence"].alias("confidence")))
+    """All labels after the best, as ids."""
+    tail = F.slice(ranked, F.lit(2), F.greatest(F.size(ranked) - 1, F.lit(0)))
+    return F.transform(tail, lambda r: F.struct(F.coalesce(_ids(ids)[r["label"]], F.lit("")).alias("value"), r["confidence"].alias("confidence")))
 
 
 def same(labels) -> dict[str, str]:
@@ -135,7 +251,7 @@ def rejects_digest(why: dict[str, str]) -> str:
     return ",".join(sorted(f"{k}:{v}" for k, v in why.items()))
 
 
-def custom(p: CustomPass, text: Column, backend: KeywordBackend, facets: dict[str, Column]) -> Column:
+def custom(p: CustomPass, text: Column, backend: Backend, facets: dict[str, Column]) -> Column:
     """A custom pass's result: struct of labeled, labels and entities."""
     producer = T.custom_producer(p.key, p.version)
     no_labels, no_entities = F.array().cast("array<struct<label:string,confidence:double>>"), F.array().cast("array<struct<label:string,start:int,confidence:double,masked:string>>")
@@ -144,11 +260,10 @@ def custom(p: CustomPass, text: Column, backend: KeywordBackend, facets: dict[st
         texts = [t or i for i, t in labels]
         ids = {t or i: i for i, t in labels}
         neg = f"Not {texts[0]}" if len(texts) == 1 else None
-        ranked = backend.classify(text, p.title or p.key, texts + ([neg] if neg else []))
+        ranked = backend.classify(backend.view(text), p.title or p.key, texts + ([neg] if neg else []))
         best = F.try_element_at(ranked, F.lit(1))
-        by_text = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-        untagged = (F.size(ranked) == 0) | ((best["label"] == neg) if neg else F.lit(False))
-        return F.when(untagged, empty(producer)).otherwise(labeled(F.coalesce(by_text[best["label"]], F.lit("")), best["confidence"], producer))
+        untagged = ranked.isNull() | (F.size(ranked) == 0) | ((best["label"] == neg) if neg else F.lit(False))
+        return F.when(untagged, empty(producer)).otherwise(labeled(F.coalesce(_ids(ids)[best["label"]], F.lit("")), best["confidence"], producer))
 
     if p.condition_on:
         on, out = facets[p.condition_on], None
@@ -158,58 +273,87 @@ def custom(p: CustomPass, text: Column, backend: KeywordBackend, facets: dict[st
     if p.kind == "multi_label":
         threshold = 0.5 if p.threshold is None else p.threshold
         ids = {t or i: i for i, t in p.labels}
-        by_text = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
-        got = F.transform(backend.multi(text, list(ids), threshold), lambda r: F.struct(by_text[r["label"]].alias("label"), r["confidence"].alias("confidence")))
+        got = F.transform(backend.multi(text, list(ids), threshold), lambda r: F.struct(_ids(ids)[r["label"]].alias("label"), r["confidence"].alias("confidence")))
         return F.struct(empty(producer).alias("labeled"), got.alias("labels"), no_entities.alias("entities"))
     if p.kind == "entity":
-
-        def of(label: str) -> Column:
-            return F.transform(T.entities(text, label), lambda x: F.struct(F.lit(label).alias("label"), scalars.first_offset(text, x).alias("start"), F.lit(0.95).alias("confidence"), T.mask(F.lit(label), x).alias("masked")))
-
-        found = F.concat(*(of(i) for i, _ in p.labels if i in vocab.ENTITY_PATTERNS), no_entities)
-        return F.struct(empty(producer).alias("labeled"), no_labels.alias("labels"), found.alias("entities"))
+        found = F.transform(backend.entities(text, [i for i, _ in p.labels]), lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["confidence"].alias("confidence"), T.mask(e["label"], e["text"]).alias("masked")))
+        return F.struct(empty(producer).alias("labeled"), no_labels.alias("labels"), F.concat(found, no_entities).alias("entities"))
     return F.struct(single(p.labels).alias("labeled"), no_labels.alias("labels"), no_entities.alias("entities"))
 
 
 FACETS = ("task_type", "domain", "activity_type", "personal", "function_guess", "subcategory")
+#: Facets whose further labels are kept, as `<facet>_alt`.
+RANKED_FACETS = ("task_type", "speech_act", "subcategory")
 
 
 def profiles(rows: DataFrame, backend: Backend | None = None, gating: bool = True, customs: list[CustomPass] = (), keep: list[str] | None = None) -> DataFrame:
-    """rows: text, source, meta (struct). Profiles without any text: always-run passes, the gate, gated passes, second wave."""
+    """rows: text, source, meta (struct). Profiles without any text but that of domain entities (`entities`, which sinks blank):
+    always-run passes, the gate, gated passes, second wave. A pass whose model fails leaves its facet empty and the status partial."""
     backend = backend or KeywordBackend()
     keep = keep or [c for c in rows.columns if c not in ("text", "meta")]
-    raw, context = F.col("text"), F.concat(T.preamble("meta"), F.coalesce("text", F.lit("")))
+    native = getattr(backend, "native", False)
 
-    def facet(name: str, labels: dict[str, str], on: Column) -> Column:
-        return top(backend.classify(on, name, list(labels)), same(labels), list(labels), name)
+    def facet(name: str, labels: dict[str, str], on: str) -> Column:
+        """Ranked labels, under `_<name>`; heads and tails are taken from it."""
+        return backend.classify(F.col(on), name, list(labels)).alias(f"_{name}")
 
-    first = rows.withColumn("spans", sensitivity.spans("text")).withColumn("speech_act", facet("speech_act", vocab.SPEECH_ACTS, raw))
+    first = rows.withColumn("_raw", backend.view(F.col("text")))
+    first = first.withColumn("_found", F.lit(None).cast(FOUND) if native else backend.entities(F.col("text"), vocab.SENSITIVE_ENTITIES))
+    first = first.withColumn("spans", sensitivity.spans("text", found=None if native else F.coalesce("_found", F.array().cast(FOUND))))
+    first = first.withColumn("_speech_act", facet("speech_act", vocab.SPEECH_ACTS, "_raw"))
+    first = first.withColumn("speech_act", top(F.col("_speech_act"), same(vocab.SPEECH_ACTS), list(vocab.SPEECH_ACTS), "speech_act"))
+    first = first.withColumn("speech_act_alt", alternates(F.col("_speech_act"), same(vocab.SPEECH_ACTS)))
     first = first.withColumn("_class", T.severity_class(F.transform("spans", lambda e: e["label"])))
-    first = first.withColumn("sensitivity", labeled(F.coalesce("_class", F.lit("none")), F.when(F.col("_class").isNotNull(), 1.0).otherwise(0.0), T.versioned("sensitivity")))
+    # The class by rule, else the backend's own guess, else none.
+    first = first.withColumn("_sensitivity", backend.classify(F.col("_raw"), "sensitivity", vocab.SENSITIVITIES))
+    guess = F.try_element_at("_sensitivity", F.lit(1))
+    guess = F.when(F.coalesce(guess["label"], F.lit("")) != "", guess)
+    value, sure = F.coalesce("_class", guess["label"], F.lit("none")), F.when(F.col("_class").isNotNull(), 1.0).otherwise(F.coalesce(guess["confidence"], F.lit(0.0)))
+    first = first.withColumn("sensitivity", labeled(value, sure, T.versioned("sensitivity")))
     first = first.withColumn("gated", (T.content_free("text") | (F.col("speech_act.value") == "fragment")) if gating else F.lit(False))
-    coding = F.col("source").isin(vocab.CONTEXT_SOURCES)
-    native = getattr(backend, "native", False)
     run, open_ = (first, ~F.col("gated")) if native else (first.where(~F.col("gated")), F.lit(True))
 
     def gated(x: Column) -> Column:
         return F.when(open_, x)
 
-    run = run.withColumn("task_type", gated(facet("task_type", vocab.TASK_TYPES, context))).withColumn("domain", gated(facet("domain", vocab.DOMAINS, raw)))
-    run = run.withColumn("activity_type", gated(facet("activity_type", vocab.ACTIVITIES, context))).withColumn("personal", gated(facet("personal", vocab.PERSONAL, context)))
-    run = run.withColumn("function_guess", gated(F.when(coding, labeled(F.lit("eng"), F.lit(1.0), T.versioned("function_guess"))).otherwise(facet("function_guess", vocab.FUNCTIONS, context))))
+    run = run.withColumn("_context", gated(backend.prefixed(T.preamble("meta"), F.col("text"), F.col("_raw"))))
+    ranked = {"task_type": (vocab.TASK_TYPES, "_context"), "domain": (vocab.DOMAINS, "_raw"), "activity_type": (vocab.ACTIVITIES, "_context"), "personal": (vocab.PERSONAL, "_context"), "function_guess": (vocab.FUNCTIONS, "_context")}
+    run = run.select("*", *(gated(facet(name, labels, on)).alias(f"_{name}") for name, (labels, on) in ranked.items()), gated(backend.entities(F.col("text"), vocab.DOMAIN_ENTITIES, F.col("_raw"))).alias("entities"))
+    run = run.withColumns({name: gated(top(F.col(f"_{name}"), same(labels), list(labels), name)) for name, (labels, _) in ranked.items()})
+    run = run.withColumn("task_type_alt", gated(alternates(F.col("_task_type"), same(vocab.TASK_TYPES))))
+    # Prompts of coding tools are engineering, whatever their words.
+    coding = F.col("source").isin(vocab.CONTEXT_SOURCES)
+    run = run.withColumn("function_guess", gated(F.when(coding, labeled(F.lit("eng"), F.lit(1.0), T.versioned("function_guess"))).otherwise(F.col("function_guess"))))
     subsets = {k: {f"{k}.{s}": t for s, t in v.items()} for k, v in vocab.SUBCATEGORIES.items()}
-    run = run.withColumn("subcategory", gated(conditioned(lambda labels: backend.classify(context, "subcategory", labels), F.col("function_guess.value"), subsets, "subcategory")))
+    of, second = F.col("function_guess.value"), None
+    for key, labels in subsets.items():
+        got = backend.classify(F.col("_context"), "subcategory", list(labels))
+        second = F.when(of == key, got) if second is None else second.when(of == key, got)
+    run = run.withColumn("_subcategory", gated(second))
+    every = {i: i for labels in subsets.values() for i in labels}
+    known, head = of.isin(*subsets), _ids({k: next(iter(labels)) for k, labels in subsets.items()})
+    unranked = F.struct(head[of].alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("producer"))
+    best = F.when(F.size("_subcategory") == 0, unranked).otherwise(top(F.col("_subcategory"), every, list(every), "subcategory"))
+    run = run.withColumn("subcategory", gated(F.when(known, best).otherwise(empty(T.versioned("subcategory")))))
+    run = run.withColumn("subcategory_alt", gated(F.when(known, alternates(F.col("_subcategory"), every))))
+    failed = F.col("_speech_act").isNull() | F.col("_sensitivity").isNull() | F.col("entities").isNull() | (known & F.col("_subcategory").isNull())
+    for name in ranked:
+        failed = failed | (F.col(f"_{name}").isNull() & ~coding if name == "function_guess" else F.col(f"_{name}").isNull())
+    failed = failed if native else failed | F.col("_found").isNull()
+    run = run.withColumn("_failed", gated(failed)).withColumn("entities", gated(F.coalesce("entities", F.array().cast(FOUND))))
     facets = {name: F.col(f"{name}.value") for name in (*FACETS, "speech_act", "sensitivity")}
-    entries = [F.struct(F.lit(p.key).alias("key"), custom(p, raw, backend, facets).alias("value")) for p in screen(list(customs))[0]]
+    entries = [F.struct(F.lit(p.key).alias("key"), custom(p, F.col("text"), backend, facets).alias("value")) for p in screen(list(customs))[0]]
     if entries:
         run = run.withColumn("custom", gated(F.map_from_entries(F.array(*entries))))
     both = run
+    made = ["_failed", "entities", *FACETS, "task_type_alt", "subcategory_alt", *(["custom"] if entries else [])]
     if not native:
         held = first.where("gated")
-        for name in (*FACETS, *(["custom"] if entries else [])):
+        for name in made:
             held = held.withColumn(name, F.lit(None).cast(run.schema[name].dataType))
-        both = run.unionByName(held)
+        both = run.select(*first.columns, *made).unionByName(held)
+    status = F.when(F.col("gated"), "gated").when(F.col("_failed"), "partial").otherwise("enriched")
     return both.select(
-        *keep, F.when(F.col("gated"), "gated").otherwise("enriched").alias("status"), "speech_act", "sensitivity", sensitivity.masked("spans").alias("spans"), *FACETS,
+        *keep, status.alias("status"), "speech_act", "speech_act_alt", "sensitivity", sensitivity.masked("spans").alias("spans"), *FACETS, "task_type_alt", "subcategory_alt", "entities",
         F.coalesce(F.length("text"), F.lit(0)).alias("prompt_chars"), F.lit(vocab.SCHEMA_VERSION).alias("schema_version"), *(["custom"] if entries else []),
     )
