@@ -31,8 +31,8 @@ select dw.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 OP5 = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
-select page_id, payload_bytes, payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to
-from p left join f using (payload_digest)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to
+from (select p.*, first, payload_bytes >= 100 and coalesce(first < coalesce(page_id, first + 1), false) as again from p left join f using (payload_digest))
 """
 
 OP8 = f"""

@@ -117,20 +117,21 @@ def test_shards(spark):
 
 
 def brute_warc(pages):
-    payloads = [(p, (h or "").encode()) for p, _, h in pages if p is not None]
+    payloads = [(p, (h or "").encode()) for p, _, h in pages]
     first: dict = {}
     for p, b in payloads:
-        first[b] = min(p, first.get(b, p))
+        if p is not None:
+            first[b] = min(p, first.get(b, p))
     out = []
     for p, b in payloads:
-        again = len(b) >= 100 and first[b] < p
+        again = len(b) >= 100 and b in first and (p is None or first[b] < p)
         out.append((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[b] if again else None))
     return Counter(out)
 
 
 def test_warc_round_trip(spark):
     big = "<p>é" * 700_000
-    pages = [(1, "http://a/", big), (2, "http://a/2", big), (3, None, None), (4, "u\r\nX: y", ""), (5, "u", "x" * 99), (6, "u", "x" * 99), (7, "u", "y" * 100), (8, "u", "y" * 100), (9, "u", "\r\n\r\nWARC/1.1\r\n"), (9, "u", "y" * 100), (9, "u", "y" * 100), (None, "u", "y" * 100)]
+    pages = [(1, "http://a/", big), (2, "http://a/2", big), (3, None, None), (4, "u\r\nX: y", ""), (5, "u", "x" * 99), (6, "u", "x" * 99), (7, "u", "y" * 100), (8, "u", "y" * 100), (9, "u", "\r\n\r\nWARC/1.1\r\n"), (9, "u", "y" * 100), (9, "u", "y" * 100), (None, "u", "y" * 100), (None, "u", "q" * 300), (None, None, "q" * 300), (None, None, big + "x"), (None, "u", None)]
     pages += [(100 + i, "u", "z" * 200) for i in range(60)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = warc.write_and_read(df).collect()
@@ -141,8 +142,30 @@ def test_warc_round_trip(spark):
     assert warc.write_and_read(df.limit(0)).count() == 0
 
 
-def test_warc_refuses_a_torn_record():
-    raw = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nabc\r\n\r\n"
+def test_warc_many_pages_without_an_id(spark):
+    rows = [(None, f"u{i}", "same payload " * 20) for i in range(400)] + [(5, "u", "same payload " * 20), (9, "u", "x")]
+    got = warc.write_and_read(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == {(None, "revisit", 5): 400, (5, "response", None): 1, (9, "response", None): 1}
+
+
+def member(raw: bytes) -> bytes:
     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-    with pytest.raises(ValueError):
-        list(warc.records(io.BytesIO(gz.compress(raw) + gz.flush())))
+    return gz.compress(raw) + gz.flush()
+
+
+def test_warc_refuses_a_torn_record():
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nabc\r\n\r\n"
+    whole = member(one % 3)
+    assert [d for *_, d, _ in warc.records(io.BytesIO(whole * 2))] == [b"abc", b"abc"]
+    for torn in (member(one % 10), member(one % 2), whole + whole[: len(whole) // 2], whole + whole[:-1], whole + member(b"WARC/1.1\r\nWARC-Ty")):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(torn)))
+
+
+def test_warc_refuses_a_file_with_fewer_records(spark):
+    from pyspark.sql import functions as F
+
+    files = warc.write(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), scratch(spark, "w"))
+    assert warc.read(files).count() == 2
+    with pytest.raises(Exception, match="records of"):
+        warc.read(files.withColumn("n_records", F.col("n_records") + 1)).count()
