@@ -3,12 +3,15 @@
 Pieces of documents are placed into sequences of a fixed capacity. Of the open sequences of each residual gap, and a new
 one, the piece goes where the squared counts of open sequences per gap then sum to least. Placement looks at lengths alone.
 
-Pieces are dealt by a hash into groups of about `group` pieces, one task packs each group, and the pieces of sequences
-that stay under-filled are dealt anew into fewer groups, until one group is left: the waste of many groups is packed away
-and no task ever sees more than a group. Longest pieces go first, so that the short ones fill what is left.
+Pieces are dealt by a hash of their row into groups of about `group` pieces, so that no id can fill a group; one task packs
+each group, and the pieces of sequences that stay under-filled are dealt anew into fewer groups, until one group is left or a
+round fills up fewer than a tenth of what it is given: the waste of many groups is packed away and no task ever sees more than
+a group. Longest pieces go first, so that the short ones fill what is left; equal lengths go in the order of arrival, which
+changes sequences but neither their number by much nor any piece.
 
 Defined results: a null text is empty; an empty document is its closing id alone; rows that share a doc_id are packed
-each by itself; a null doc_id stays null; an empty table gives no pieces. Other columns are ignored.
+each by itself; a null doc_id stays null; a text longer than a slice is tokenized by itself and leaves as batches of pieces; an
+empty table gives no pieces. Other columns are ignored by `pieces`; `pack` carries any columns, and its own names replace them.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from .common import materialize, slices
 from .tokens import Encoder, tokenizer_path
 
 CAPACITY = 2048
-GROUP = 4_000
+#: Pieces of a group, pieces that leave at once, and groups that a task packs one after the other.
+GROUP, BATCH, PER_TASK = 4_000, 16_000, 16
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -43,9 +47,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 start = piece * capacity
                 length = np.minimum(size[row] - start, capacity)
-                cut = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * np.int32(4)
-                raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(np.ascontiguousarray(ids, "<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([run.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), raw], ["doc_id", "piece", "start", "length", "ids"])
+                ends = np.concatenate([[0], np.cumsum(length)])
+                for lo in range(0, len(row), BATCH):  # so that offsets of a very long text stay within 32 bits
+                    hi = min(len(row), lo + BATCH)
+                    cut = (4 * (ends[lo : hi + 1] - ends[lo])).astype(np.int32)
+                    flat = np.ascontiguousarray(ids[ends[lo] : ends[hi]], "<u4").tobytes()
+                    raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(flat)])
+                    at = slice(lo, hi)
+                    yield pa.RecordBatch.from_arrays([run.column("doc_id").take(pa.array(row[at])), pa.array(piece[at], pa.int32()), pa.array(start[at]), pa.array(length[at]), raw], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, PIECES)
 
@@ -102,26 +111,26 @@ def _packer(capacity: int, base: int):
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Pieces (any columns, with `length`) and their place: sequence_id, offset."""
-    todo = materialize(items, "pieces")
+    spark = items.sparkSession
+    todo = materialize(items.drop("sequence_id", "offset", "filled", "_group"), "pieces")
     n, done, round_ = todo.count(), [], 0
-    carried = items.schema
-    schema = "," .join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", sequence_id long, offset long, filled long"
+    names = todo.columns
+    schema = todo.schema.add("sequence_id", "long").add("offset", "long").add("filled", "long")
     while True:
         groups = max(1, round(n / group))
-        last = groups == 1 or round_ >= 5
-        keyed = todo.select(*(f"`{c}`" for c in carried.names), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "piece") if c in carried.names] or ["length"], F.lit(round_)), F.lit(groups)).alias("_group"))
-        packed = materialize(keyed.repartition(min(groups, 4096), "_group").groupBy("_group").applyInArrow(_packer(capacity, round_ << 56), schema), "packed")
+        tasks = max(min(groups, 2 * spark.sparkContext.defaultParallelism), -(-groups // PER_TASK))
+        # The row's own number is in the hash: rows of one id, or of none, are spread like all others.
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups))
+        keyed = todo.select(*(F.col(f"`{c}`") for c in names), deal.alias("_group"))
+        packed = materialize(keyed.repartition(tasks, "_group").groupBy("_group").applyInArrow(_packer(capacity, round_ << 56), schema), "packed")
         # A sequence as full as any shortest piece leaves it stays; what is emptier is packed again among its like.
         poor = F.col("filled") < F.lit(capacity - max(4, capacity // 100))
-        if last:
-            done.append(packed)
-            break
-        n_poor = packed.where(poor).count()
-        if n_poor == 0:
+        n_poor = packed.where(poor).count() if groups > 1 else 0
+        if n_poor == 0 or 10 * n_poor > 9 * n:
             done.append(packed)
             break
         done.append(packed.where(~poor))
-        todo, n, round_ = packed.where(poor).select(*(f"`{c}`" for c in carried.names)), n_poor, round_ + 1
+        todo, n, round_ = packed.where(poor).select(*(F.col(f"`{c}`") for c in names)), n_poor, round_ + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
