@@ -9,7 +9,8 @@ its partition into one file block by block. A file is written under an attempt's
 repeated task leaves one whole file. `read` decodes block by block; no task ever holds a whole file's ids.
 
 Defined results: a null text is empty; every document ends with `end_id` if one is given; rows with a null doc_id come
-first; rows that share a doc_id keep both their entries; an empty table makes no documents. Other columns are ignored.
+first; rows that share a doc_id keep an entry each, in the order of their texts' hashes, so that starts are the same in every run; a text
+longer than a slice is tokenized by itself; an empty table makes no documents. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,7 +142,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         else:
             store.delete_file(f"{place}.{attempt}.tmp")
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text"), F.octet_length("text")]  # rows of one id are dealt too
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(ordered.mapInArrow(task, FILE_SCHEMA), "token-files")
 
 
