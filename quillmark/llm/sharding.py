@@ -8,8 +8,9 @@ Ranks are exact and need no sort in one task: rows are counted in narrow buckets
 buckets are summed, and a row's rank is that sum and its place within its bucket. Hash buckets even out a hot source.
 
 Defined results: a null source is a source of its own; a null text has no bytes; repeated rows keep a place each; rows with
-a null doc_id are shuffled by their text; an empty table gives no rows. Equal texts are not kept together: with counts
-at most one apart a large group fits no shard.
+a null doc_id are shuffled by their text; rows equal in doc_id, text crc and size may change places with each other; texts of any
+length are only measured; an empty table gives no rows. Equal texts are not kept together: with counts at most one apart a large
+group fits no shard. Other columns than doc_id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +20,25 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows that a bucket of the sort key should hold.
-PER_BUCKET = 1_000
+#: Rows that a bucket of the sort key should hold, and buckets that are summed as one.
+PER_BUCKET, RUN = 1_000, 1_000
 
 
 def _ranked(rows: DataFrame, within: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
-    """1-based rank by (bucket, order) within the given columns; buckets ascend with the order. Also the size of the stratum."""
+    """1-based rank by (bucket, order) within the given columns; buckets ascend with the order.
+
+    Counts of buckets are summed in two steps, within runs of RUN buckets and over the runs, so that the one window without
+    a partition sees a row per RUN * PER_BUCKET rows."""
     rows = rows.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
-    upto = (Window.partitionBy(*within) if within else Window.partitionBy()).orderBy("_bucket")
-    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    counts = rows.groupBy(*within, "_bucket").agg(F.count("*").alias("_n")).withColumn("_run", F.floor(F.col("_bucket") / RUN).cast("long"))
+    inner = Window.partitionBy(*within, "_run").orderBy("_bucket")
+    counts = counts.withColumn("_before", F.sum("_n").over(inner) - F.col("_n"))
+    runs = counts.groupBy(*within, "_run").agg(F.sum("_n").alias("_m"))
+    outer = (Window.partitionBy(*within) if within else Window.partitionBy()).orderBy("_run")
+    runs = runs.withColumn("_first", F.sum("_m").over(outer) - F.col("_m")).drop("_m")
+    counts = counts.join(runs, [*within, "_run"]).select(*within, "_bucket", (F.col("_before") + F.col("_first")).alias("_before"))
     place = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order))
-    return rows.withColumn("_place", place).join(counts.drop("_n"), [*within, "_bucket"]).withColumn(out, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
+    return rows.withColumn("_place", place).join(counts, [*within, "_bucket"]).withColumn(out, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
 
 
 def shards(docs: DataFrame, n: int = 24, seed: str = "interleave") -> DataFrame:
