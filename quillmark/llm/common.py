@@ -52,6 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spared(names: list[str], own: tuple[str, ...]) -> list[str]:
+    """Names without those that an operator's result has itself: its columns replace them. Spark tells names without case."""
+    mine = {x.lower() for x in own}
+    return [c for c in names if c.lower() not in mine]
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(column)).alias("b")).first().b or 0
 
@@ -94,7 +100,8 @@ def flat(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
-    """Cut a batch into runs of rows of about limit bytes of text; a longer row stands alone."""
+    """Cut a batch into runs of rows of about limit bytes of text; a longer row stands alone, and its kernels take memory in
+    proportion to that one text (some 100 bytes for each of its bytes)."""
     size = np.array(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     if not len(size):
         return

@@ -4,10 +4,12 @@ Shallow trees are grown over statistics of the text; every path from a root is a
 lasso logistic regression weighs the rules and drops most; what is left is compiled into one Spark column over the
 statistics. Trees and regression are Spark ML; the statistics are numpy over Arrow batches of whole texts.
 
-`fit` looks at no more than `sample` labelled rows, those of least hash.
+`fit` looks at no more than `sample` labelled rows, those of least hash, in one sorted partition: the rules are the same however
+the rows were dealt before.
 
-Defined results: a null text is empty, and an empty text has all statistics 0; repeated rows are scored each; with no
-labelled rows, or all of one class, the score is the smoothed share of label 1.
+Defined results: a null text is empty, and an empty text has all statistics 0; a text longer than a slice is measured by itself;
+repeated rows are scored each; of several labels of one doc_id the larger counts; with no labelled rows, or all of one class, the
+score is the smoothed share of label 1; a column to keep of a name that the result has itself is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, materialize, slices
+from .common import LOWER, Words, materialize, slices, spared
 
 STATS = ("n_words", "word_bytes", "upper", "digits", "marks", "odd_marks", "bangs", "breaks", "beyond_ascii", "distinct", "top_word", "line_copies", "short_words")
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
@@ -69,6 +71,7 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
 
 def stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and the statistics of each whole text."""
+    keep = spared(keep, (*STATS, "score", "predicted"))
     given = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = given.select(*keep).schema
     for name in STATS:
@@ -123,7 +126,8 @@ def fit(rows: DataFrame, trees: int = 16, depth: int = 3, lasso: float = 0.003,
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    train = materialize(rows.select(*STATS, F.col("label").cast("double").alias("label")).repartition(4), "quality-sample")
+    train = rows.select(*STATS, F.col("label").cast("double").alias("label")).repartition(1).sortWithinPartitions(*STATS, "label")
+    train = materialize(train, "quality-sample")  # a bounded sample, so that one partition is small and every step one task
     n = {int(r.label): r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Rules(math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)), [])
@@ -144,5 +148,5 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], learn: Column | N
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.where(learn) if learn is not None else known
     known = known.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(sample)
-    rules = fit(stats(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["label"]))  # of no more than `sample` ids
+    rules = fit(stats(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text"), ["label"]))  # of no more than `sample` ids
     return stats(docs, keep).withColumn("score", rules.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
