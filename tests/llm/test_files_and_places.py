@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from quillmark.llm import packing, sharding, token_files, warc
-from quillmark.llm.common import scratch
+from quillmark.llm.common import SLICE_BYTES, scratch
 from quillmark.llm.tokens import Encoder, tokenizer_path
 
 from .data import documents, frame
@@ -77,6 +77,32 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(frame(spark, [])), 64).count() == 0
 
 
+def test_packing_deals_rows_of_no_id(spark):
+    from pyspark.sql import functions as F
+
+    # 100,000 pieces without an id, and columns of the names that the result has itself.
+    items = spark.range(100_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("length"), F.lit("x").alias("offset"), F.lit("y").alias("filled"))
+    got = packing.pack(items, 2048)
+    assert dict(got.dtypes)["offset"] == "bigint" and "filled" not in got.columns
+    rows = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("k")).collect()
+    assert sum(r.k for r in rows) == 100_000 and all(r.n == r.end <= 2048 for r in rows)
+    assert len(rows) <= 1.01 * sum(r.n for r in rows) / 2048 + 2
+    groups = {r.sequence_id >> 28 for r in rows if r.sequence_id >> 56 == 0}
+    assert len(groups) > 20
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(8)
+    rows = [(1, " ".join(f"w{rng.randrange(5000)}" for _ in range(1_600_000)), None, None, None), (2, "short one", None, None, None), (3, None, None, None, None)]
+    assert len(rows[0][1]) > SLICE_BYTES
+    df = frame(spark, rows).coalesce(1)
+    ids = np.array([*whole_ids(rows[0][1]), 0], "<u4").tobytes()
+    got = {(r.doc_id, r.piece): bytes(r.ids) for r in packing.pieces(df, 64).collect()}  # more pieces than leave at once
+    assert len(got) > 2 * packing.BATCH and b"".join(got[1, k] for k in range(-(-len(ids) // 256))) == ids
+    back = {r.doc_id: r.n_tokens for r in token_files.write_and_read(df).collect()}
+    assert back[1] == len(ids) // 4 and back[3] == 1
+
+
 def test_sum_of_squares_places_greedily():
     rng = random.Random(2)
     lengths = np.array([rng.randint(1, 20) for _ in range(300)])
@@ -116,6 +142,25 @@ def test_shards(spark):
     assert sharding.shards(frame(spark, [])).count() == 0 and sharding.shards(frame(spark, rows[:5])).count() == 5
 
 
+def test_shards_are_the_plain_order(spark):
+    """Against ranks, fractions and cuts made over the whole list at once."""
+    rows = [(d, t, a, s, n) for d, t, a, s, n in documents(5)] + [(2000 + i, f"t{i % 7}", "en", "hot", 1) for i in range(1500)]
+    n, listed = 7, []
+    for d, t, _, source, _ in rows:
+        crc = zlib.crc32((t or "").encode())
+        key = str(d) if d is not None else f"text {crc}"
+        listed.append((source or "", source is None, int(hashlib.md5(f"interleave:{key}".encode()).hexdigest()[:13], 16), (d is not None, d or 0), crc, len((t or "").encode()) + 8))
+    per = defaultdict(list)
+    for r in sorted(listed):
+        per[r[:2]].append(r)
+    order = sorted(((k + 0.5) / len(v), *source, k + 1, r) for source, v in per.items() for k, r in enumerate(v))
+    low, more = divmod(len(order), n)
+    cut = [s for s in range(n) for _ in range(low + (s < more))]
+    want = Counter((r[3][1] if r[3][0] else None, r[4], shard) for (*_, r), shard in zip(order, cut))
+    got = sharding.shards(frame(spark, rows, extra=True).drop("source_"), n).collect()
+    assert Counter((r.doc_id, r.text_crc32, r.shard) for r in got) == want
+
+
 def brute_warc(pages):
     payloads = [(p, (h or "").encode()) for p, _, h in pages]
     first: dict = {}

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -67,11 +69,41 @@ def test_quality_held_out(spark, labelled):
     assert none.select("score").distinct().count() == 1
 
 
+def plain_stats(text):
+    words, lines, raw = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x], text.encode()
+    lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    n, b = max(len(words), 1), max(len(raw), 1)
+    share = lambda f: sum(map(f, raw)) / b
+    return {
+        "n_words": len(words), "word_bytes": sum(len(w.encode()) for w in words) / n, "upper": share(lambda c: 65 <= c <= 90), "digits": share(lambda c: 48 <= c <= 57),
+        "marks": share(lambda c: 33 <= c <= 126 and not chr(c).isalnum()), "odd_marks": share(lambda c: c < 128 and chr(c) in "#$%&*<>=@^_|~{}[]\\"), "bangs": share(lambda c: c == 33),
+        "breaks": share(lambda c: c == 10), "beyond_ascii": share(lambda c: c >= 128), "distinct": len(set(lower)) / n, "top_word": max(Counter(lower).values(), default=0) / n,
+        "line_copies": 1 - len(set(lines)) / len(lines) if lines else 0.0, "short_words": sum(len(w.encode()) <= 2 for w in words) / n,
+    }
+
+
+def test_quality_is_the_brute_force(spark, labelled):
+    """Fitted rules, tried one by one over statistics counted letter by letter, whatever the rows' partitions."""
+    docs, labels = labelled
+    rows = documents() + [(5000 + r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.limit(60).collect()]
+    known = labels.withColumnRenamed("quality", "label").select("doc_id", "label")
+    fitted = [quality.fit(quality.stats(d.join(known, "doc_id").select("label", "text"), ["label"])) for d in (docs.repartition(3), docs.repartition(7, "text"))]
+    assert fitted[0] == fitted[1] and fitted[0].weighted
+    got = quality.stats(frame(spark, rows, extra=True), ["doc_id", "lang", "n_words"]).withColumn("score", fitted[0].column()).collect()
+    want = Counter()
+    for d, t, *_ in rows:
+        s = plain_stats(t or "")
+        z = fitted[0].intercept + sum(w for w, rule in fitted[0].weighted if all((s[k] <= x) == at_most for k, at_most, x in rule.tests))
+        want[d, s["n_words"], round(1 / (1 + np.exp(-z)), 9)] += 1
+    assert Counter((r.doc_id, r.n_words, round(r.score, 9)) for r in got) == want
+
+
 def test_quality_edges(spark, labelled):
     _, labels = labelled
     rows = documents()
-    scored = quality.score(frame(spark, rows, extra=True).select("doc_id", "text", "lang"), labels, ["doc_id", "lang"]).collect()
-    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    clashing = frame(spark, rows, extra=True)
+    scored = quality.score(clashing, labels.unionByName(labels.limit(5)), clashing.columns).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.n_words >= 0 for r in scored) and {r.label for r in scored} == {"clash"}
     assert quality.score(frame(spark, []), labels, ["doc_id"]).count() == 0
 
 
