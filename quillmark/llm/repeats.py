@@ -1,21 +1,23 @@
-"""Substring deduplication by prefix-partitioned suffixes; hashes of windows stand in for the suffix trees, none is built.
+"""Substring deduplication by prefix-partitioned suffix trees.
 
 Every suffix of a document's words that has at least `window` words belongs to the group of its prefix. Prefixes are of
-variable length: a suffix's ends with the first marker (a run of three words whose hash says so) at or after its start, or
-after `window` words if there is none. The suffixes that go to each of BUCKETS ranges of prefixes a group are counted first; in
-a range of more than HEAVY, as before a line that very many documents hold, prefixes are lengthened to the whole window. So
-equal windows have equal prefixes, and groups are of memory size. A group's subtree is kept at the depth that matters: its nodes of depth
-`window` are told by 64-bit hashes of the windows. A node that holds suffixes of two documents lies on a maximal repeat;
-joining a document's windows at such nodes gives the repeats' spans.
+variable length: a suffix's ends with the run of GRAM words, among those in its first `window` words, whose hash is least.
+Suffixes of equal first `window` words have equal prefixes, so they meet in one group, and neighbouring suffixes mostly share
+their run, so they travel as one stretch of words. Suffixes are counted by ranges of prefixes first; in a range of more than HEAVY,
+as around a line that very many documents hold, prefixes are lengthened to the whole window, so that groups are of memory size.
 
-A word is removed if it lies in a window that also starts in a document of smaller doc_id. A task first judges its own slice
-of text: of equal windows only those of its least document go on, the others are already known to be repeats. So a passage
-that a third of all documents share sends one window per slice.
+A group's subtree is held as its sorted suffixes: ranks of 1, 2, 4, ... words are doubled up to the window (over exact word
+codes, not hashes), and equal ranks at that depth are the suffixes below one internal node. A node with suffixes of two documents
+lies on a maximal repeat; joining a document's windows at such nodes gives the repeats' spans. A hash of each window tells
+beforehand which suffixes are alone and need no sorting; it decides nothing else.
 
-Suffixes of one document up to a marker share its group, and travel as one run of hashes; nothing else of the text does.
+A word is removed if it lies in a window that also starts in a document of smaller doc_id. A task first judges its own slice
+of text the same way: of the suffixes below a node only those of its least document go on, the others are already known to be
+repeats. So a passage that a third of all documents share sends one window per slice, and of a lengthened prefix one per task.
 
 Defined results: a null text has no words; documents of fewer words than a window keep all; a row with a null doc_id keeps
-all and removes nothing elsewhere; rows that share a doc_id never remove each other's words; an empty table gives no rows.
+all and removes nothing elsewhere; rows that share a doc_id never remove each other's words; repeated rows are judged each by itself; a
+text longer than a slice is one slice; an empty table gives no rows. A column of a name that the result has itself is replaced.
 """
 
 from __future__ import annotations
@@ -25,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import K1, K2, U64, Words, blob, fragments, joined, mix, ragged, scaled, slices, text_bytes
+from .common import K1, K2, U64, Words, blob, fragments, joined, materialize, mix, ragged, scaled, slices, text_bytes
 
-WINDOW, MARKER, DENSITY = 50, 3, 16
-#: Text that a task judges at a time, and text behind a group; a suffix takes some 60 bytes of a worker's memory.
-SLICE, GROUP = 4 << 20, 12 << 20
+WINDOW, GRAM = 50, 5
+#: Text that a task judges at a time, and text behind a group; its suffixes carry three times that text.
+SLICE, GROUP = 4 << 20, 8 << 20
 #: Ranges of prefixes in a group, and suffixes in one beyond which prefixes are whole windows (twice the mean of full groups).
-BUCKETS, HEAVY = 8, 1 << 19
-_RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary())])
+BUCKETS, HEAVY = 8, 1 << 18
+#: Lengthened prefixes that a task remembers before it starts afresh: bounds memory, never results.
+REMEMBERED = 50_000
+_RUNS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary())])
 _SPANS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-RUNS = "part int, kind int, docs binary, rows binary, starts binary, lengths binary, hashes binary"
+RUNS = "part int, kind int, docs binary, rows binary, starts binary, lengths binary, words binary"
 SPANS = "doc_id long, row_key long, start long, end long"
+OWN = ("_n_words", "_n_removed", "_kept", "_spans", "_found", "_doc")
 
 
 def _row_keys(h: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -45,39 +50,80 @@ def _row_keys(h: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix((total[off[1:]] - total[off[:-1]]) ^ (doc.view(U64) * K1))
 
 
-def _suffixes(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each suffix of at least a window: its word, its row, the hash of its prefix and that of its window."""
-    g, fits = words.grams(h, window)
-    at = np.flatnonzero(fits)
-    m, _ = words.grams(h, MARKER)
-    n = len(h)
-    marks = np.where((m & U64(DENSITY - 1)) == 0, np.arange(len(m)), n)
-    ahead = np.append(np.minimum.accumulate(marks[::-1])[::-1], n)
-    mark = ahead[np.minimum(at, len(ahead) - 1)]
-    inside = mark + MARKER <= at + window
-    prefix = np.where(inside, m[np.minimum(mark, len(m) - 1)] if len(m) else 0, g[at])
-    return at, words.row()[at], mix(prefix * K1), g[at]
+def _prefix_ends(m: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Of each suffix at `at`, where its least run of GRAM words starts; m: hashes of runs. Equal hashes: the first of them."""
+    w = window - GRAM + 1
+    n = -(-len(m) // w) * w
+    value = np.full(n, np.iinfo(np.uint64).max, U64)
+    value[: len(m)] = (mix(m * K2) & U64(0xFFFFFFFF00000000)) | np.arange(len(m), dtype=U64)
+    blocks = value.reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return (np.minimum(back[at], ahead[at + w - 1]) & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def nodes(words: Words, at: np.ndarray, depth: int) -> np.ndarray:
+    """The tree node at `depth` of each suffix at `at` (of at least depth words): equal numbers for equal words, ascending as they sort."""
+    cover = np.zeros(len(words.start) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + depth, -1)
+    inside = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    place = np.zeros(len(words.start), np.int64)
+    place[inside] = np.arange(len(inside))
+    start, size = words.start[inside], (words.end - words.start)[inside]
+    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    listed = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(words.raw[ragged(start, size)].tobytes())])
+    rank = listed.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def after(r: np.ndarray, by: int) -> np.ndarray:
+        return np.concatenate([r[by:], np.zeros(min(by, len(r)), np.int64)])
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+    at, found, done, length = place[at], None, 0, 1
+    while True:
+        if depth & length:
+            part = after(rank, done)[at]
+            found, done = part if found is None else paired(found, part), done + length
+        if 2 * length > depth:
+            return found
+        rank, length = paired(rank, after(rank, length)), 2 * length
+
+
+def _repeats(words: Words, g: np.ndarray, at: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Which suffixes also stand in a document of smaller id. g: hashes of windows; doc: of each suffix."""
+    out = np.zeros(len(at), bool)
+    order = np.argsort(g, kind="stable")
+    s = g[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    some = np.sort(order[same[1:] | same[:-1]])  # the others are leaves
+    if len(some):
+        node = nodes(words, at[some], window)
+        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, doc[some])
+        out[some] = doc[some] > least[node]
+    return out
 
 
 def _thinned(run: pa.RecordBatch, window: int):
-    """Of a slice with a suffix of a window: words, ids, row keys, `_suffixes` of rows with an id, and which are known repeats; else None."""
+    """Of a slice with a suffix of a window: words, ids, row keys; of suffixes of rows with an id: word, row, prefix hash, window hash, known repeat; else None."""
     words = Words(run.column("text"), lower=False)
     h = words.hashes()
     if len(h) < window:
         return None
     ids = run.column("doc_id")
     doc, missing = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
-    at, row, prefix, g = _suffixes(words, h, window)
-    ok = ~missing[row]
-    at, row, prefix, g = at[ok], row[ok], prefix[ok], g[ok]
+    g, fits = words.grams(h, window)
+    at = np.flatnonzero(fits)
+    row = words.row()[at]
+    at, row = at[~missing[row]], row[~missing[row]]
     if not len(at):
         return None
-    order = np.argsort(g, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
-    least = np.repeat(np.minimum.reduceat(doc[row][order], head), np.diff(np.append(head, len(g))))
-    known = np.zeros(len(g), bool)
-    known[order] = doc[row][order] > least
-    return words, doc, _row_keys(h, words.off, doc), at, row, prefix, g, known
+    m, _ = words.grams(h, GRAM)
+    prefix = mix(m[_prefix_ends(m, at, window)] * K1)
+    return words, doc, _row_keys(h, words.off, doc), at, row, prefix, g[at], _repeats(words, g[at], at, doc[row], window)
 
 
 def _count(window: int, buckets: int):
@@ -101,22 +147,31 @@ def _heavy(docs: DataFrame, window: int, buckets: int, most: int) -> np.ndarray:
     return np.sort(np.array([r.bucket for r in counts.where(F.col("n") > most).select("bucket").collect()], np.int64))
 
 
-def _parts(prefix: np.ndarray, g: np.ndarray, parts: int, heavy: np.ndarray) -> np.ndarray:
-    """The group of each suffix: that of its prefix, or of its window in a heavy range."""
-    long = np.isin(scaled(prefix, parts * BUCKETS), heavy)
-    return scaled(np.where(long, mix(g * K1), prefix), parts)
-
-
 def _send(window: int, parts: int, heavy: np.ndarray):
+    """Stretches of suffixes to their groups, with their words; known repeats as spans."""
+
     def task(batches):
+        import zstandard
+
+        pack, sent = zstandard.ZstdCompressor(level=1).compress, {}
         for batch in batches:
             for run in slices(batch, limit=SLICE):
                 got = _thinned(run, window)
                 if got is None:
                     continue
                 words, doc, keys, at, row, prefix, g, known = got
-                part = np.where(known, parts, _parts(prefix, g, parts, heavy))
-                # Runs of neighbouring suffixes of one document and group.
+                lengthened = np.isin(scaled(prefix, parts * BUCKETS), heavy)
+                raw = words.raw.tobytes() if lengthened.any() else b""
+                for i in np.flatnonzero(lengthened & ~known).tolist():
+                    text, d = raw[words.start[at[i]] : words.end[at[i] + window - 1]], int(doc[row[i]])
+                    before = sent.get(text, d)
+                    known[i] = before < d
+                    if d <= before:
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
+                        sent[text] = d
+                part = np.where(known, parts, scaled(np.where(lengthened, mix(g * K1), prefix), parts))
+                # Neighbouring suffixes of one document and group are one stretch.
                 first = np.concatenate([[True], (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
                 start = np.flatnonzero(first)
                 length = np.diff(np.append(start, len(at)))
@@ -129,31 +184,42 @@ def _send(window: int, parts: int, heavy: np.ndarray):
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(p)]):
                     done = p[a] == parts
                     where = parts + int(mix(keys[own[a : a + 1]])[0] % U64(parts)) if done else int(p[a])
-                    hashes = None if done else blob(g[ragged(start[a:b], length[a:b])], "<u8")
-                    out.append((where, int(done), blob(doc[own[a:b]], "<i8"), blob(keys[own[a:b]], "<u8"), blob(begin[a:b], "<u4"), blob(length[a:b], "<u4"), hashes))
+                    text = None
+                    if not done:
+                        each = ragged(at[start[a:b]], length[a:b] + window - 1)
+                        text = pack(_kept_by(words, each).tobytes())
+                    out.append((where, int(done), blob(doc[own[a:b]], "<i8"), blob(keys[own[a:b]], "<u8"), blob(begin[a:b], "<u4"), blob(length[a:b], "<u4"), text))
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _RUNS)], schema=_RUNS)
 
     return task
 
 
+def _kept_by(words: Words, which: np.ndarray) -> np.ndarray:
+    """The bytes of the given words, a space after each."""
+    start, size = words.start[which], (words.end - words.start)[which]
+    at = np.cumsum(size + 1) - size - 1
+    text = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    text[ragged(at, size)] = words.raw[ragged(start, size)]
+    return text
+
+
 def _judge(window: int):
     """Per group: the spans at nodes of depth `window` that a smaller document also has."""
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
+        import zstandard
+
         docs, keys, starts, lengths = joined(rows["docs"], "<i8"), joined(rows["rows"], "<i8"), joined(rows["starts"], "<u4").astype(np.int64), joined(rows["lengths"], "<u4").astype(np.int64)
         if rows["kind"][0].as_py():
             return pa.Table.from_arrays([pa.array(docs), pa.array(keys), pa.array(starts), pa.array(starts + lengths - 1 + window)], schema=_SPANS)
-        g = joined(rows["hashes"], "<u8")
+        unpack = zstandard.ZstdDecompressor().decompress
+        text = b"".join(unpack(x) for x in rows["words"].to_pylist())
+        words = Words(pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64).tobytes()), pa.py_buffer(text)]).view(pa.large_string()), lower=False)
+        g, _ = words.grams(words.hashes(), window)
+        room = lengths + window - 1
+        at = ragged(np.cumsum(room) - room, lengths)
         of = np.repeat(np.arange(len(docs)), lengths)
-        order = np.argsort(g, kind="stable")
-        s = g[order]
-        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        size = np.diff(np.append(head, len(s)))
-        deep = np.repeat(size > 1, size)  # nodes with more than a leaf
-        order, size = order[deep], size[size > 1]
-        doc = docs[of[order]]
-        least = np.repeat(np.minimum.reduceat(doc, np.cumsum(size) - size), size) if len(size) else doc
-        hit = np.sort(order[doc > least])
+        hit = np.flatnonzero(_repeats(words, g[at], at, docs[of], window))
         if not len(hit):
             return _SPANS.empty_table()
         new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])])
@@ -175,8 +241,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, heavy: int = HEAVY) ->
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of docs, with _n_words, _n_removed, _kept (the words left, by single spaces) and _spans (merged)."""
+    docs = docs.drop(*OWN)
     spans = repeated_spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("row_key", "start", "end")).alias("_found"))
-    both = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    spans = materialize(spans, "repeat-spans")  # so that the join may split rows of one id
+    known = docs.where("doc_id is not null")
+    both = known.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    both = both.unionByName(docs.where("doc_id is null").withColumn("_found", F.lit(None).cast(both.schema["_found"].dataType)))
     names = docs.columns
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n_words long, _n_removed long, _kept string, _spans array<struct<start:bigint,end:bigint>>"

@@ -4,6 +4,7 @@ import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, jaccard, repeats
 from quillmark.llm.components import components
@@ -126,6 +127,34 @@ def test_repeats_split_the_suffixes_before_a_frequent_line(spark):
     assert runs[100] == runs[repeats.HEAVY] and len(runs[100]) == 3 * 60
 
 
+@pytest.mark.parametrize("depth", [1, 5, 50])
+def test_nodes_are_equal_words(depth):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmark.llm.common import Words
+
+    rng = random.Random(depth)
+    texts = [" ".join(rng.choice("ab" if depth == 5 else ["x", "é", "long-word"]) for _ in range(rng.randint(depth, 130))) for _ in range(6)]
+    texts += [texts[0], " ".join(["z"] * 120), "y " + texts[1]]
+    words, listed = Words(pa.array(texts), lower=False), [split(t) for t in texts]
+    at = np.array([int(words.off[r]) + i for r, w in enumerate(listed) for i in range(len(w) - depth + 1) if (r + i) % 3])
+    flat = [x for w in listed for x in w]
+    got: dict = {}
+    for i, node in zip(at.tolist(), repeats.nodes(words, at, depth).tolist()):
+        got.setdefault(node, set()).add(tuple(flat[i : i + depth]))
+    assert all(len(v) == 1 for v in got.values()) and len(got) == len(set().union(*got.values()))
+
+
+def test_repeats_replace_clashing_columns(spark):
+    rows = documents(3)
+    got = repeats.remove(frame(spark, rows, extra=True).withColumn("_doc", F.lit("clash")))
+    assert dict(got.dtypes)["_kept"] == "string" and got.columns.count("_found") == 0 and got.where("n_words = 'clash' and part = 'clash'").count() == len(rows)
+    assert sorted(((r.doc_id, r._n_words, r._n_removed, r._kept) for r in got.collect()), key=repr) == brute_repeats(rows)
+
+
 def test_repeats_empty(spark):
     assert repeats.remove(frame(spark, []).select("doc_id", "text")).count() == 0
 
