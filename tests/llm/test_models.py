@@ -44,13 +44,68 @@ def test_toxicity_held_out(spark, labelled):
     assert scored.where("score < 0 or score > 1").count() == 0
 
 
-def test_toxicity_folds_and_spares():
-    assert toxicity.fold("1d10T") == "idiot" and toxicity.fold("іdі0t") == "idiot" and toxicity.fold("sc$um$$ ＣＬＯＷＮ") == "scsum$$ clown"
-    auto = toxicity.Lexicon({"clown": 2.0, "trash": 1.0}).automaton()
+def test_toxicity_folds():
+    same = {"1d10T": "idiot", "іdі0t": "idiot", "sc$um$$ ＣＬＯＷＮ": "scsum$$ clown", "a$$hole": "asshole", "$hit happens!": "shit happens!", "ïdíot": "idiot", "id\u00adiot": "idiot"}
+    same |= {"in 2024 for $100, room 7b!": "in 2024 for $100, room tb!", "@user +1 555": "@user +1 555", "a\n b": "a b", "": ""}
+    assert {k: toxicity.fold(k)[0] for k in same} == same
+    assert toxicity.fold("id-iot c.l.o.w.n i d i o t s1imebag")[1].split() == ["slimebag", "idiot", "clown", "idiot"]
+
+
+def test_toxicity_spares():
+    auto = toxicity.Lexicon({"clown": 2.0, "trash": 1.0}, ("clown fish", "trash can")).automaton()
     found = toxicity.matches(auto, "a clown saw a clown fish near the trash can and trashy clowns, clown")
     assert [t[0] for t in found] == [2, 63]
 
 
+def test_toxicity_is_the_brute_force(spark, labelled):
+    """Term by term and place by place, without an automaton."""
+    docs, labels = labelled
+    lexicon = toxicity.fit(docs, labels)
+    lexicon.exceptions = ("mudhead cave", "the slimebag")
+    rows = documents() + [(9000 + r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.where("doc_id < 80").collect()]
+    rows += [(9990, "A mudhead  cave, a mud-head, the slimebag s l i m e b a g mudheads MÜDHEAD!", None, None, None)]
+
+    def places(text, term):
+        out, at = [], text.find(term)
+        while at >= 0:
+            end = at + len(term)
+            if not (at and text[at - 1].isalnum()) and not (end < len(text) and text[end].isalnum()):
+                out.append((at, end))
+            at = text.find(term, at + 1)
+        return out
+
+    want = Counter()
+    for d, t, *_ in rows:
+        folded, more = toxicity.fold(t or "")
+        text, n = folded + ("\n" + more if more else ""), len(folded.split())
+        spared = [p for e in lexicon.exceptions for p in places(text, e)]
+        found = [w for term, w in lexicon.weights.items() for a, b in places(text, term) if not any(x <= a and b <= y for x, y in spared)]
+        z = lexicon.curve[0] + lexicon.curve[1] * np.log1p(sum(found)) + lexicon.curve[2] * np.log1p(sum(found) * 100 / max(n, 1))
+        want[d, n, len(found), round(float(1 / (1 + np.exp(-z))), 9)] += 1
+    scored = toxicity.score(frame(spark, rows, extra=True), lexicon, ["doc_id", "n_words", "lang"]).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_terms, round(r.score, 9)) for r in scored) == want
+    assert {r.doc_id: r.n_terms for r in scored}[9990] == 3
+
+
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu"]) for _ in range(3))
+    docs, labels = [], []
+    for i in range(400):
+        w = [word() for _ in range(25)]
+        if i % 4 == 0:
+            w[5:5] = ["you", "grubling"]
+        elif i % 4 == 1:
+            w[7:7] = ["grubling", "soup"]
+        docs.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    df = frame(spark, docs)
+    lexicon = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "grubling" in lexicon.weights and "grubling soup" in lexicon.exceptions and "you grubling" not in lexicon.exceptions
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, lexicon, ["doc_id"]).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(400))
+
+
 def test_toxicity_edges(spark, labelled):
     docs, labels = labelled
     assert toxicity.fit(docs, labels.where("toxic = 0")).weights == {}
