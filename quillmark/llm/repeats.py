@@ -31,7 +31,7 @@ from .common import K1, K2, U64, Words, blob, fragments, joined, materialize, mi
 
 WINDOW, GRAM = 50, 5
 #: Text that a task judges at a time, and text behind a group; its suffixes carry three times that text.
-SLICE, GROUP = 4 << 20, 8 << 20
+SLICE, GROUP = 4 << 20, 5 << 20
 #: Ranges of prefixes in a group, and suffixes in one beyond which prefixes are whole windows (twice the mean of full groups).
 BUCKETS, HEAVY = 8, 1 << 18
 #: Lengthened prefixes that a task remembers before it starts afresh: bounds memory, never results.
@@ -107,8 +107,8 @@ def _repeats(words: Words, g: np.ndarray, at: np.ndarray, doc: np.ndarray, windo
     return out
 
 
-def _thinned(run: pa.RecordBatch, window: int):
-    """Of a slice with a suffix of a window: words, ids, row keys; of suffixes of rows with an id: word, row, prefix hash, window hash, known repeat; else None."""
+def _thinned(run: pa.RecordBatch, window: int, judged: bool = True):
+    """Of a slice with a suffix of a window: words, ids, row keys; of suffixes of rows with an id: word, row, prefix hash, window hash, known repeat (none if not judged); else None."""
     words = Words(run.column("text"), lower=False)
     h = words.hashes()
     if len(h) < window:
@@ -123,19 +123,19 @@ def _thinned(run: pa.RecordBatch, window: int):
         return None
     m, _ = words.grams(h, GRAM)
     prefix = mix(m[_prefix_ends(m, at, window)] * K1)
-    return words, doc, _row_keys(h, words.off, doc), at, row, prefix, g[at], _repeats(words, g[at], at, doc[row], window)
+    return words, doc, _row_keys(h, words.off, doc), at, row, prefix, g[at], _repeats(words, g[at], at, doc[row], window) if judged else np.zeros(len(at), bool)
 
 
 def _count(window: int, buckets: int):
-    """Suffixes that each slice sends, by range of prefixes."""
+    """Different windows of each slice by range of prefixes: about as many suffixes as it sends."""
 
     def task(batches):
         for batch in batches:
             for run in slices(batch, limit=SLICE):
-                got = _thinned(run, window)
+                got = _thinned(run, window, judged=False)
                 if got is not None:
-                    *_, prefix, _, known = got
-                    where, n = np.unique(scaled(prefix[~known], buckets), return_counts=True)
+                    *_, prefix, g, _ = got
+                    where, n = np.unique(scaled(prefix[np.unique(g, return_index=True)[1]], buckets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(n, pa.int64())], ["bucket", "n"])
 
     return task
