@@ -48,8 +48,10 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings rendered from `embeddings` (the tables hold no audio); every vec_id divisible by 50 against all."""
-    media = chroma.media_of(table(spark, sf_dir, "embeddings"))
-    found = materialize(chroma.fingerprints(media, chroma.fit(media)), "chroma-prints")
+    vectors = table(spark, sf_dir, "embeddings")
+    ids = chroma.chosen(vectors.select(F.col("vec_id").cast("long").alias("rec_id")))
+    heard = vectors.join(F.broadcast(ids), F.col("vec_id") == F.col("rec_id"), "left_semi")  # a bounded sample: only that is rendered for the fit
+    found = materialize(chroma.fingerprints(chroma.media_of(vectors), chroma.fit(chroma.media_of(heard))), "chroma-prints")
     asked = found.where("rec_id % 50 = 0").select("rec_id").distinct()
     return chroma.aligned(found, asked)
 

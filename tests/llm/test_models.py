@@ -199,6 +199,9 @@ def test_chroma_alignment_recall(spark):
                 if n >= 20 and np.bitwise_count(x[:n] ^ y[:n]).sum() <= 0.15 * 32 * n:
                     want.add((q, min(members)))
     assert len(want) >= 25 and len(want & got) >= 0.9 * len(want) and got <= want
+    exact = {(r.query_id, r.match_id): (r.offset, r.bit_error) for r in chroma.exhaustive(found, asked, block=7).collect()}
+    want |= {(q, min(m)) for q in (x for x in prints if x % 5 == 0 and len(prints[x])) for m in classes.values() if q in m}
+    assert want <= set(exact) and got <= set(exact) and all(v[1] <= 0.15 for v in exact.values())
     total = chroma.summary(asked, chroma.search(found, asked)).collect()
     assert len(total) == asked.count() and {r.query_id: r.n_classes for r in total}[900] == 0
     assert chroma.search(found.limit(0), asked.limit(0)).count() == 0
@@ -223,6 +226,22 @@ def test_chroma_query_returns_all_pairs_and_members(spark, tmp_path):
     assert not any(chroma.tune(vectors[3], 3)[: 3 * 2 * chroma.HOP]) and len(chroma.tune(vectors[3], 3)) == 2 * 67 * chroma.HOP
 
 
+def test_chroma_silence_and_short_recordings(spark):
+    tone = (9000 * np.sin(2 * np.pi * np.cumsum(np.repeat(110.0 * 2 ** (np.arange(40) % 11 / 12), chroma.HOP)) / chroma.RATE)).astype("<i2").tobytes()
+    silence = bytes(2 * chroma.HOP * 400)
+    rows = [(i, silence + tone[: 2 * chroma.HOP * (30 + i % 3)] + silence) for i in range(20)] + [(50 + i, silence[: 50_000 + 256 * i]) for i in range(6)]
+    rows += [(100, tone[:1700]), (105, tone[:1700]), (110, None)]
+    media = spark.createDataFrame(rows, "rec_id long, audio binary")
+    found = chroma.fingerprints(media, chroma.fit(media)).cache()
+    classes = found.where("rec_id < 50").selectExpr("xxhash64(prints) as cls", "prints").distinct()
+    per = chroma.keyed(classes, "c", "p").groupBy("c").count().collect()
+    assert max(r["count"] for r in per) < 80  # of more than 800 frames
+    got = {(r.query_id, r.match_id) for r in chroma.search(found, found.where("rec_id % 5 = 0").select("rec_id")).collect()}
+    assert (5, 0) in got or (5, 2) in got
+    assert {(100, 100), (105, 100), (50, 50)} <= got and not any(q == 110 for q, _ in got)
+    assert sum(r.match_size for r in chroma.search(found, found.where("rec_id = 105").select("rec_id")).where("match_id = 100").collect()) == 2
+
+
 def test_chroma_of_a_tone():
     t = np.arange(2048) / chroma.RATE
     image = chroma.chroma(9000 * np.sin(2 * np.pi * 220 * t))
