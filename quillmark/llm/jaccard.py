@@ -6,7 +6,8 @@ the fragments travel apart, overlaps are counted fragment by fragment, and the c
 The steps, all exact:
 
 1. Every document's n-grams go to their fragments, packed by batch. A fragment counts for each document the n-grams that
-   no other set has. Sets that are equal count as one (by digest), so copies meet nobody.
+   no other set has. Sets that are equal count as one (by digest), so copies meet nobody. An n-gram that two sets of a slice of
+   text share is known to be shared, and goes on once for the slice, so a frequent one fills no fragment.
 2. A set of n n-grams of which more than n/5 are its own cannot reach a Jaccard similarity of 0.8 with any other; the sums
    per set leave few sets. (Fragments compare 32 bits here; a false match only keeps a set that could have gone.)
 3. Only the sets left are built again, with 64-bit n-grams. They are put in order of rarity; the first n - ceil(0.8 n) + 1
@@ -14,14 +15,17 @@ The steps, all exact:
 4. Sets that are neighbours in a posting list are counted first; their links make components. Then postings that still
    hold sets of two components give the pairs of different components, and those are counted too. Pairs within a component
    cannot change it, so a large group of near copies needs no expansion into all its pairs.
-5. Counting: the segments of the sets and the pairs meet per fragment (and, with many pairs, per block of pairs); partial
-   overlaps are summed per pair and held against the threshold.
+5. Counting: pairs are dealt into blocks, whose number follows the pairs, and within a block the segments of its sets meet
+   per fragment, of which there is a fixed number; partial overlaps are summed per pair and held against the threshold. So what is
+   shuffled follows the pairs and their sets, and not pairs times a number that grows.
 
-Long posting lists are dealt by salts in step 4 and left to adaptive skew joins after it; no task holds one n-gram's list.
+Long posting lists are dealt by salts in step 4; rarity and the joins on n-grams are left to Spark's aggregates and skewed joins,
+so no task holds one n-gram's list. Sets and n-grams are told by 64 bits; counts are exact but for their collisions.
 
 Defined results: a document without words has an empty set, links with nothing and is a component of its own; fewer words
 than n make one n-gram of the whole; a row with a null doc_id has its count, no component and no part in links; rows that
-share a doc_id are joined each by itself; an empty table gives no rows. Other columns are ignored.
+share a doc_id are joined each by itself; repeated rows are one set; a text longer than a slice is one slice; an empty table gives no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import K3, U64, Words, blob, fragments, joined, materialize, mix, ragged, scaled, slices, text_bytes
 from .components import components
 
-#: N-grams behind a fragment of the sets that are left, and pairs in a block.
-FRAGMENT_GRAMS, BLOCK_PAIRS = 2_000_000, 2_000_000
+#: Fragments of the n-gram order in which pairs are counted; n-grams that a fragment of a block holds at most, and pairs of a block.
+FRAGMENTS, FRAGMENT_GRAMS, BLOCK_PAIRS = 16, 2_000_000, 2_000_000
 #: A posting list's sets per salt.
 SALTED = 512
 #: Rounds in which a set meets sets of other components, and how many of them per posting.
@@ -114,20 +118,28 @@ def _pack_documents(n: int, parts: int):
                 size = np.diff(off)
                 sets[missing] = 0
                 rows = []
-                where = scaled(sets, parts)
-                order = np.argsort(where, kind="stable")
-                for p, a, b in _cut(where[order]):
-                    at = order[a:b]
-                    rows.append((parts + p, 1, blob(doc[at], "<i8"), blob(size[at], "<u4"), blob(sets[at], "<u8"), blob(missing[at], "u1")))
+                if len(doc):  # documents themselves are dealt by slice, whatever their sets
+                    some = int(mix(np.array([len(grams)], U64) ^ U64(int(doc[0]) & 0xFFFFFFFFFFFFFFFF))[0] % U64(parts))
+                    rows.append((parts + some, 1, blob(doc, "<i8"), blob(size, "<u4"), blob(sets, "<u8"), blob(missing, "u1")))
                 _, first = np.unique(sets, return_index=True)
                 once = np.sort(first[sets[first] != 0])
                 entry = ragged(off[:-1][once], size[once])
                 of = np.repeat(once, size[once])
-                order, part, row, length = _runs(scaled(grams[entry], parts), of)
-                low = grams[entry][order].astype(np.uint32)
+                by = np.argsort(grams[entry], kind="stable")
+                g = grams[entry][by]
+                same = np.zeros(len(g) + 1, bool)
+                same[1:-1] = g[1:] == g[:-1]
+                shared = np.zeros(len(g), bool)
+                shared[by] = same[1:] | same[:-1]
+                alone, of = grams[entry][~shared], of[~shared]
+                order, part, row, length = _runs(scaled(alone, parts), of)
+                low = alone[order].astype(np.uint32)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 for p, a, b in _cut(part):
                     rows.append((p, 0, blob(sets[row[a:b]], "<u8"), blob(length[a:b], "<u4"), blob(low[ends[a] : ends[b]], "<u4"), None))
+                twice = g[same[1:] & ~same[:-1]]  # ascending, so in the order of fragments
+                for p, a, b in _cut(scaled(twice, parts)):
+                    rows.append((p, 0, None, None, None, blob(twice[a:b].astype(np.uint32), "<u4")))
                 if rows:
                     yield _batch(rows)
 
@@ -135,12 +147,11 @@ def _pack_documents(n: int, parts: int):
 
 
 def _count_own(parts: int):
-    """Per fragment: for each set, the n-grams that only it has."""
+    """Per fragment: for each set, the n-grams that only it has, to the ranges of sets."""
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
         if key[0].as_py() >= parts:
-            p = key[0].as_py() - parts
-            return _table([(p, 1, *(x.as_py() for x in (rows["a"][i], rows["b"][i], rows["c"][i], rows["d"][i]))) for i in range(len(rows))])
+            return rows
         sets, length, grams = joined(rows["a"], "<u8"), joined(rows["b"], "<u4").astype(np.int64), joined(rows["c"], "<u4")
         _, first = np.unique(sets, return_index=True)
         if len(first) < len(sets):
@@ -148,13 +159,15 @@ def _count_own(parts: int):
             keep[first] = True
             grams = grams[np.repeat(keep, length)]
             sets, length = sets[keep], length[keep]
-        order = np.argsort(grams, kind="stable")
-        g = grams[order]
+        shared = np.unique(joined(rows["d"], "<u4"))
+        every = np.concatenate([grams, shared, shared])
+        order = np.argsort(every, kind="stable")
+        g = every[order]
         same = np.zeros(len(g) + 1, bool)
         same[1:-1] = g[1:] == g[:-1]
         own = np.zeros(len(g), np.int64)
         own[order] = ~(same[1:] | same[:-1])
-        alone = np.add.reduceat(own, np.cumsum(length) - length) if len(length) else np.zeros(0, np.int64)
+        alone = np.add.reduceat(own[: len(grams)], np.cumsum(length) - length) if len(length) else np.zeros(0, np.int64)
         sets, alone = sets[alone > 0], alone[alone > 0]
         where = scaled(sets, parts)
         by = np.argsort(where, kind="stable")
@@ -163,24 +176,19 @@ def _count_own(parts: int):
     return task
 
 
-_DOCS = "doc_id long, n_shingles long, set long, rep long, alive boolean"
+def _own_sums(key: tuple, rows: pa.Table) -> pa.Table:
+    """Per range of sets: how many n-grams are a set's own."""
+    sets, alone = joined(rows["a"], "<i8"), joined(rows["b"], "<u4").astype(np.int64)
+    known, at = np.unique(sets, return_inverse=True)
+    return pa.table({"set": known, "own": np.bincount(at, weights=alone, minlength=len(known)).astype(np.int64)})
 
 
-def _judge_sets(key: tuple, rows: pa.Table) -> pa.Table:
-    """Per range of sets: each document with its set, the least document of that set, and whether the set may have a partner."""
-    kind = rows["kind"].to_numpy()
-    docs, counts = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 0))
-    doc, size, sets, missing = joined(docs["a"], "<i8"), joined(docs["b"], "<u4").astype(np.int64), joined(docs["c"], "<u8"), joined(docs["d"], "u1").astype(bool)
-    known, at = np.unique(sets, return_inverse=True)
-    n, rep = np.zeros(len(known), np.int64), np.full(len(known), np.iinfo(np.int64).max)
-    n[at] = size
-    np.minimum.at(rep, at, doc)
-    own = np.zeros(len(known), np.int64)
-    of, alone = joined(counts["a"], "<u8"), joined(counts["b"], "<u4").astype(np.int64)
-    if len(of):
-        np.add.at(own, np.searchsorted(known, of), alone)
-    alive = (known != 0) & (5 * (n - own) >= 4 * n)
-    return pa.table({"doc_id": pa.array(doc, mask=missing), "n_shingles": size, "set": sets.view(np.int64), "rep": rep[at], "alive": alive[at]})
+def _unpacked(batches):
+    """The documents with their sets, a row each."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc, size, sets, missing = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in zip("abcd", ("<i8", "<u4", "<i8", "u1")))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=missing.astype(bool)), pa.array(size.astype(np.int64)), pa.array(sets)], ["doc_id", "n_shingles", "set"])
 
 
 def _sets_left(n: int):
@@ -215,47 +223,27 @@ def _pack_sets(parts: int):
     return task
 
 
-def _frequencies(parts: int):
-    """Per fragment: the n-grams that two sets or more have, with their counts, to the ranges of sets."""
-
-    def task(key: tuple, rows: pa.Table) -> pa.Table:
-        sets, n, length, grams = joined(rows["a"], "<u8"), joined(rows["b"], "<u4"), joined(rows["c"], "<u4").astype(np.int64), joined(rows["d"], "<u8")
-        _, at, count = np.unique(grams, return_inverse=True, return_counts=True)
-        df = count[at]
-        of = np.repeat(np.arange(len(sets)), length)
-        shared = df >= 2
-        order, part, row, size = _runs(scaled(sets[of[shared]], parts), of[shared])
-        g, f = grams[shared][order], df[shared][order]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = []
-        for p, a, b in _cut(part):
-            head = np.stack([sets[row[a:b]].view(np.int64), n[row[a:b]].astype(np.int64), size[a:b]])
-            out.append((p, 0, blob(head, "<i8"), None, blob(f[ends[a] : ends[b]], "<u4"), blob(g[ends[a] : ends[b]], "<u8")))
-        return _table(out)
-
-    return task
-
-
-_POSTINGS = "gram long, set long, n long, pos long, df long"
-
-
-def _postings(key: tuple, rows: pa.Table) -> pa.Table:
-    """Per range of sets: n-grams in order of rarity, as far as a similar set must share one."""
-    heads = [np.frombuffer(x, "<i8").reshape(3, -1) for x in rows["a"].to_pylist()]
-    sets, n, length = np.concatenate(heads, axis=1)
-    df, grams = joined(rows["c"], "<u4").astype(np.int64), joined(rows["d"], "<u8")
-    known, at = np.unique(sets, return_inverse=True)
-    size = np.zeros(len(known), np.int64)
-    size[at] = n
-    of = np.repeat(at, length)
-    order = np.lexsort((grams, df, of))
-    of, grams, df = of[order], grams[order], df[order]
-    shared = np.bincount(of, minlength=len(known))
-    first = np.cumsum(shared) - shared
-    pos = np.arange(len(of)) - first[of] + (size - shared)[of]  # its own n-grams are the rarest
-    keep = (pos <= size[of] - (4 * size[of] + 4) // 5) & (5 * shared >= 4 * size)[of]
-    of = of[keep]
-    return pa.table({"gram": grams[keep].view(np.int64), "set": known[of], "n": size[of], "pos": pos[keep], "df": df[keep]})
+def _exploded(batches):
+    """A row per n-gram of each set."""
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        sets = batch.column("set").to_numpy()
+        step = max(1, int(500_000 / max(1, n.mean()))) if len(n) else 1
+        for lo in range(0, len(n), step):
+            at = slice(lo, lo + step)
+            grams = joined(pa.chunked_array([batch.column("grams").slice(lo, step)]), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sets[at], n[at])), pa.array(np.repeat(n[at], n[at])), pa.array(grams)], ["set", "n", "gram"])
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """gram, set, n, pos, df: each set's n-grams in order of rarity, as far as a similar set must share one."""
+    each = sets.select("set", "n", "grams").mapInArrow(_exploded, "set long, n long, gram long")
+    df = materialize(each.groupBy("gram").agg(F.count("*").alias("df")).where("df >= 2"), "gram-counts")
+    order = Window.partitionBy("set").orderBy("df", "gram")
+    ranked = each.join(df, "gram").withColumn("_at", F.row_number().over(order)).withColumn("_shared", F.count("*").over(Window.partitionBy("set")))
+    ranked = ranked.withColumn("pos", F.col("_at") - 1 + F.col("n") - F.col("_shared"))  # its own n-grams are the rarest
+    kept = ranked.where((F.col("pos") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5)) & (5 * F.col("_shared") >= 4 * F.col("n")))
+    return kept.select("gram", "set", "n", "pos", "df")
 
 
 def _possible(a: str, b: str):
@@ -322,16 +310,18 @@ def _linked(percent: int):
     return task
 
 
-def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int = FRAGMENTS) -> DataFrame:
     """The pairs (a, b) of sets whose overlaps, counted by fragment and summed, reach the threshold."""
     pairs = materialize(pairs, "pairs")
-    blocks = max(1, -(-pairs.count() // BLOCK_PAIRS))
+    sizes = pairs.select(F.explode(F.array("a", "b")).alias("set")).join(sets.select("set", "n"), "set").agg(F.count("*"), F.sum("n")).first()
+    n_pairs, grams = sizes[0] // 2, sizes[1] or 0
+    blocks = max(1, -(-n_pairs // BLOCK_PAIRS), -(-grams // (parts * FRAGMENT_GRAMS)))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    used = pairs.select(F.col("a").alias("set"), "block").unionByName(pairs.select(F.col("b").alias("set"), "block")).distinct()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("set"), "block").distinct()
     segments = used.join(sets, "set").select("set", "n", "grams", "block").mapInArrow(_pack_sets(parts), _PACKED)
     packed = pairs.mapInArrow(_pack_pairs, _PACKED).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     packed = packed.select((F.col("part") * parts + F.col("_f")).cast("int").alias("part"), "kind", "a", "b", "c", "d")
-    partial = segments.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_overlaps(parts), _PACKED)
+    partial = segments.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_overlaps(parts * blocks), _PACKED)
     return materialize(partial.groupBy("part").applyInArrow(_linked(80), "a long, b long"), "links")
 
 
@@ -348,24 +338,26 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = fragments(text_bytes(docs), spark)
-    own = docs.mapInArrow(_pack_documents(n, parts), _PACKED).groupBy("part").applyInArrow(_count_own(parts), _PACKED)
-    known = materialize(own.groupBy("part").applyInArrow(_judge_sets, _DOCS), "document-sets")
-    left = known.where("alive and doc_id = rep").select("doc_id", "set").distinct()
-    n_left, total = known.where("alive and doc_id = rep").agg(F.count("*"), F.sum("n_shingles")).first()
+    packed = materialize(docs.mapInArrow(_pack_documents(n, parts), _PACKED).groupBy("part").applyInArrow(_count_own(parts), _PACKED), "own-grams")
+    known = materialize(packed.where("kind = 1").mapInArrow(_unpacked, "doc_id long, n_shingles long, set long"), "document-sets")
+    own = packed.where("kind = 0").groupBy("part").applyInArrow(_own_sums, "set long, own long")
+    judged = known.where("set <> 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).join(own, "set", "left")
+    judged = materialize(judged.withColumn("alive", 5 * (F.col("n") - F.coalesce("own", F.lit(0))) >= 4 * F.col("n")).select("set", "rep", "n", "alive"), "judged-sets")
+    left = judged.where("alive").select(F.col("rep").alias("doc_id"), "set")
+    n_left = left.count()
     if not n_left:
-        return known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("set") != 0, F.col("rep")).otherwise(F.col("doc_id"))).alias("component_id"))
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // FRAGMENT_GRAMS))
+        target = judged.select("set", F.col("rep").alias("_least"))
+        return _named(known, target)
     chosen = docs.join(F.broadcast(left) if n_left <= BROADCAST_SETS else left, "doc_id")
     sets = materialize(chosen.mapInArrow(_sets_left(n), "set long, n long, grams binary"), "sets")
-    if sets.count() > left.count():  # rows that share a doc_id
+    if sets.count() > n_left:  # rows that share a doc_id
         sets = materialize(sets.dropDuplicates(["set"]), "sets")
-    counted = sets.withColumn("block", F.lit(0).cast("long")).mapInArrow(_pack_sets(parts), _PACKED).groupBy("part").applyInArrow(_frequencies(parts), _PACKED)
-    postings = materialize(counted.groupBy("part").applyInArrow(_postings, _POSTINGS), "postings")
+    postings = materialize(_postings(sets), "postings")
     salt = F.pmod(F.xxhash64("set"), F.ceil(F.col("df") / SALTED))
     order = Window.partitionBy("gram", "_salt").orderBy("n", F.xxhash64("gram", "set"))
     ahead = postings.withColumn("_salt", salt).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("set", "n", "pos")))
     pairs = ahead.where(F.col("next_set").isNotNull() & _possible("", "next_"))
-    links = count_pairs(sets, pairs.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct(), parts)
+    links = count_pairs(sets, pairs.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct())
     roots = components(links)
     # Sets that their neighbours did not link meet a few random sets of other components, then all that bounds leave.
     for round_ in range(SAMPLED):
@@ -376,7 +368,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
         reach = F.array(*(F.struct(*(F.lead(c, k).over(order).alias(c) for c in ("set", "n", "pos", "root"))) for k in range(1, REACH + 1)))
         ahead = ahead.withColumn("_ahead", reach).select("*", F.explode("_ahead").alias("y")).where("y.root <> root")
         ahead = ahead.select("set", "n", "pos", *(F.col(f"y.{c}").alias(f"next_{c}") for c in ("set", "n", "pos"))).where(_possible("", "next_"))
-        more = count_pairs(sets, ahead.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct(), parts)
+        more = count_pairs(sets, ahead.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct())
         if not more.count():
             break
         links = links.unionByName(more)
@@ -388,14 +380,18 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "pos", "root", "earlier")))
     fits = (F.col("x_root") < F.col("y_root")) & _possible("x_", "y_") & ~F.arrays_overlap("x_earlier", "y_earlier")
     pairs = x.join(y, (x["gram"] == y["gram"]) & fits)
-    more = count_pairs(sets, pairs.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct(), parts)
+    more = count_pairs(sets, pairs.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct())
     if more.count():
         roots = components(links.unionByName(more))
     # From sets to documents: the least document of the sets of a component.
-    reps = known.where("alive and doc_id = rep").select("set", "rep").distinct()
-    rooted = reps.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = judged.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("_least"))
-    target = materialize(rooted.join(least, "root").where("_least <> rep").select("set", "_least"), "component-roots")
-    out = known.join(target, "set", "left")
-    own_id = F.when(F.col("set") != 0, F.col("rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", own_id)).alias("component_id"))
+    return _named(known, rooted.join(least, "root").select("set", "_least"))
+
+
+def _named(known: DataFrame, target: DataFrame) -> DataFrame:
+    """Documents with the least document of their set's component; one without a set is its own."""
+    target = materialize(target, "component-roots")  # so that the join may split the copies of one set
+    out = known.where("set <> 0").join(target, "set", "left").select("doc_id", "n_shingles", "_least")
+    out = out.unionByName(known.where("set = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("_least")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"))

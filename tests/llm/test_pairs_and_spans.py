@@ -42,9 +42,12 @@ def brute_components(rows):
     return sorted(((d, len(s), least[top(i)] if d is not None else None) for i, (d, s) in enumerate(sets)), key=repr)
 
 
-@pytest.mark.parametrize("seed", [3, 11])
-def test_jaccard_join_is_the_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, shuffled", [(3, False), (11, False), (3, True)])
+def test_jaccard_join_is_the_brute_force(spark, monkeypatch, seed, shuffled):
     rows = documents(seed)
+    if shuffled:  # as with very many sets and pairs: shuffled joins, several blocks
+        monkeypatch.setattr(jaccard, "BROADCAST_SETS", 0)
+        monkeypatch.setattr(jaccard, "BLOCK_PAIRS", 5)
     got = jaccard.near_duplicates(frame(spark, rows, extra=True), 5).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
 
@@ -64,6 +67,22 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
 
 
+def test_jaccard_a_shingle_of_every_document(spark):
+    import random
+
+    from quillmark.llm.common import joined
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(["the same five words here", *(f"u{rng.randrange(10**9)}" for _ in range(20))]), "en", "s", 1) for i in range(300)]
+    rows += [(1000 + i, "the same five words here " + " ".join(f"n{k}" for k in range(30)) + f" z{i}" * (i % 2), "en", "s", 1) for i in range(40)]
+    df = frame(spark, rows).coalesce(2)
+    got = jaccard.near_duplicates(df, 5).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+    # The shared shingle travels once per slice, not once per document.
+    sent = df.select("doc_id", "text").mapInArrow(jaccard._pack_documents(5, 4), jaccard._PACKED).where("kind = 0").toArrow()
+    assert len(joined(sent["c"], "<u4")) + len(joined(sent["d"], "<u4")) < 300 * 20 + 300 * 6 and len(joined(sent["d"], "<u4")) > 0
+
+
 def test_jaccard_empty(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
