@@ -24,6 +24,16 @@ def backoff(attempt, base_s: float = 0.5, cap_s: float = 30.0, retry_after=None)
     return F.least(wait, F.lit(cap_s))
 
 
+def jittered(wait, key) -> Column:
+    """Full jitter: a share of the wait by a hash of the key, so that a rerun waits as long."""
+    return col(wait) * hash_share(key)
+
+
+def hash_share(key) -> Column:
+    """0 up to 1 by 32 bits of a digest of the key, the same on every engine."""
+    return F.conv(F.substring(F.md5(col(key).cast("string")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
 def transient(status) -> Column:
     return col(status).isin(408, 429, 500, 502, 503, 504)
 

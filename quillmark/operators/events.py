@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,13 @@ def gate(events: DataFrame, floor: str = "info", rate: float = 1.0, enabled: boo
         return events.limit(0)
     ok = F.col("code").isin(vocab.EXEMPT_CODES) | (rank("severity") >= vocab.SEVERITIES.index(floor))
     kept = events.where(ok)
-    return kept if rate >= 1 else kept.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return kept if rate >= 1 else kept.where(scalars.hash_share(key) < rate)
+
+
+def telemetry_sources(events: DataFrame, allowed: list[str] | None = None, source: str = "source") -> DataFrame:
+    """Events of sources on the allow-list; None: the usual one, an empty list: no limit."""
+    listed = vocab.TELEMETRY_SOURCES if allowed is None else allowed
+    return events.where(F.col(source).isin(listed)) if listed else events
 
 
 def redact(events: DataFrame, fields: str = "fields") -> DataFrame:
@@ -69,6 +78,34 @@ def gauges(samples: DataFrame, within: list[str], ts: str, tie: str, value: str,
     )
 
 
+def triggered_gauges(samples: DataFrame, within: str, ts: str, tie: str, value: str, interval_s: float) -> DataFrame:
+    """Gauges by the data's own rule: at a group's first sample, and at each that comes the interval or more after the last gauge.
+
+    Groups are sorted and folded with a state of one window's sums, batch by batch, so a long series is never held."""
+    rows = samples.select(within, F.unix_micros(ts).alias("_t"), F.col(value).cast("double").alias("_v"), tie).where("_v is not null")
+    rows = rows.repartition(within).sortWithinPartitions(within, "_t", tie).select(within, "_t", "_v")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last, first, held = None, None, None, []
+        for batch in batches:
+            out = []
+            for g, t, v in batch.itertuples(index=False):
+                if g != group:
+                    group, last, held = g, None, []
+                if not held:
+                    first, held = t, [v, v, 0.0, 0.0, 0]
+                n = held[4] + 1
+                d = v - held[2]
+                mean = held[2] + d / n
+                held = [min(held[0], v), max(held[1], v), mean, held[3] + d * (v - mean), n]
+                if last is None or t - last >= interval_s * 1e6:
+                    out.append((g, t, held[0], held[1], mean, (held[3] / n) ** 0.5, v, n, (t - first) / 1e6))
+                    last, held = t, []
+            yield pd.DataFrame(out, columns=[within, "at_us", "min", "max", "mean", "std", "last", "n", "window_s"])
+
+    return rows.mapInPandas(fold, f"{within} {dict(samples.dtypes)[within]}, at_us long, min double, max double, mean double, std double, last double, n long, window_s double")
+
+
 def metric_groups(points: DataFrame) -> DataFrame:
     """points: name, pos, value. One row per metric with its points in order; metrics keep the order of first sight."""
     return points.groupBy("name").agg(F.min("pos").alias("first_pos"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("points"), F.sum("value").alias("total"))

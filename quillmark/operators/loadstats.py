@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +46,28 @@ def non_increasing(rows: DataFrame, by: list[str], order: list[str], value: str,
 
 
 def ewma(rows: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """The last exponentially weighted mean of each group; the first sample seeds it. One fold over the ordered values."""
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_s"))
-    fold = F.aggregate("_s", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x["_v"]).otherwise(F.lit(alpha) * x["_v"] + F.lit(1 - alpha) * acc))
-    return listed.select(*by, fold.alias("ewma"))
+    """The last exponentially weighted mean of each group; the first sample seeds it.
+
+    Groups are sorted and folded with a state of one number, batch by batch, so a long series is never held."""
+    sorted_ = rows.select(*by, *order, F.col(value).cast("double").alias("_v")).where("_v is not null").repartition(*by).sortWithinPartitions(*by, *order).select(*by, "_v")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, mean = None, 0.0
+        for batch in batches:
+            out = []
+            for *g, v in batch.itertuples(index=False):
+                if g != group:
+                    if group is not None:
+                        out.append((*group, mean))
+                    group, mean = g, v
+                else:
+                    mean = alpha * v + (1 - alpha) * mean
+            yield pd.DataFrame(out, columns=[*by, "ewma"])
+        if group is not None:
+            yield pd.DataFrame([(*group, mean)], columns=[*by, "ewma"])
+
+    kinds = dict(rows.dtypes)
+    return sorted_.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ewma double")
 
 
 def peaks(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -69,3 +90,8 @@ def counter_delta(rows: DataFrame, by: list[str], order: list[str], value: str)
     """Growth of a monotone counter since the last report."""
     before = F.lag(value, 1, 0).over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("delta", F.col(value) - before)
+
+
+def leaders(rows: DataFrame, by: list[str], value: str, name: str, tie) -> DataFrame:
+    """The member of largest value of each group, and that value; among equals the one of largest tie."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(name, F.struct(F.col(value), tie)).alias(f"top_{name}"), F.max(value).alias("top_value"))

@@ -57,6 +57,21 @@ def stats(rows: DataFrame, within: list[str], ts_s: str, n_bytes: str, now_s: fl
     return rows.groupBy(*within).agg(F.count("*").alias("depth"), F.coalesce(F.sum(n_bytes), F.lit(0)).alias("bytes"), F.coalesce(F.lit(now_s) - F.min(ts_s), F.lit(0.0)).alias("oldest_s"))
 
 
+def set_digest(rows: DataFrame, column: str) -> DataFrame:
+    """One text for a set, whatever the order and number of its members."""
+    return rows.agg(F.array_join(F.array_sort(F.collect_set(column)), ",").alias("digest"))
+
+
+def drained(rows: DataFrame, outcomes: DataFrame, position: str, body: str, schema: str, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One drain of a spool: what is still to do, page by page from the oldest; what stays; what is set aside.
+
+    outcomes: position, ok. Settled rows go, failed ones stay, undecodable ones are set aside whatever became of them."""
+    good, poison = decoded(rows, body, schema)
+    settled = outcomes.where("ok").select(position)
+    left = good.join(settled, position, "left_anti").drop("decoded")
+    return page(left, position, -1, n), left, poison
+
+
 def page(rows: DataFrame, position: str, after: int, n: int = 100) -> DataFrame:
     """Keyset paging."""
     return rows.where(F.col(position) > after).orderBy(position).limit(n)

@@ -97,10 +97,11 @@ def gauge_windows(spark, sf_dir):
     return got.select("event_type", "window_id", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "last")), "n", F.round("window_s", 6).alias("window_s"))
 
 
-@query("select event_type as name, min(event_id) as first_pos, count(*) as n_points, round(sum(value), 4) as total from events group by event_type")
+@query("select event_type as name, min(event_id) as first_pos, count(*) as n_points, round(arg_max(value, event_id), 6) as newest, round(sum(value), 4) as total from events group by event_type")
 def metric_groups(spark, sf_dir):
     points = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("pos"), "value")
-    return points.groupBy("name").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_points"), F.round(F.sum("value"), 4).alias("total"))
+    got = E.metric_groups(points)
+    return got.select("name", "first_pos", F.size("points").cast("long").alias("n_points"), F.round(F.element_at("points", -1), 6).alias("newest"), F.round("total", 4).alias("total"))
 
 
 @query("select user_id, event_type, min(event_id) as position, arg_max(event_id, (ts, event_id)) as latest_id, round(arg_max(value, (ts, event_id)), 6) as value from events group by user_id, event_type")
@@ -145,10 +146,10 @@ def keyset_page(spark, sf_dir):
     return queueing.page(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 500)
 
 
-@query("select e.event_id, e.user_id from events e where not exists (select 1 from events b where b.event_type = 'signup' and b.user_id = e.user_id)")
+@query("select e.event_id, e.user_id from events e where not exists (select 1 from events b where b.event_type = 'signup' and b.user_id % 3 = 0 and b.user_id = e.user_id)")
 def admit_offers(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return queueing.admit(rows, rows.where("event_type = 'signup'"), ["user_id"]).select("event_id", "user_id")
+    return queueing.admit(rows, rows.where("event_type = 'signup' and user_id % 3 = 0"), ["user_id"]).select("event_id", "user_id")
 
 
 @query("""
@@ -216,11 +217,12 @@ def retry_scalars(spark, sf_dir):
 
 @query("select array_to_string(list_sort(list(distinct event_type)), ',') as digest from events")
 def set_digest(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("digest"))
+    return queueing.set_digest(table(spark, sf_dir, "events"), "event_type")
 
 
 @query("select user_id, arg_max(event_type, (value, -event_id)) as top_type, round(max(value), 6) as top_value from events where value is not null group by user_id")
 def top_child(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.max_by("event_type", F.struct("value", -F.col("event_id"))).alias("top_type"), F.round(F.max("value"), 6).alias("top_value"))
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type")
+    return loadstats.leaders(rows, ["user_id"], "value", "type", -F.col("event_id")).withColumn("top_value", F.round("top_value", 6))
 
 

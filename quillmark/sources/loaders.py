@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tail import SCHEMA, TranscriptTail
+
 
 def extra_roots(spec: str) -> list[tuple[str, str]]:
     """`source:dir,source:dir`, split at the first colon; blank and malformed entries go."""
@@ -26,13 +28,13 @@ def roots(home: str, patterns: dict[str, list[str]], spec: str = "") -> list[tup
 
 
 def transcript_lines(spark: SparkSession, folders: list[tuple[str, str]]) -> DataFrame:
-    """source, path, off, line of all *.jsonl below the folders. A file is one split, so `off` follows its lines."""
+    """source, path, off (byte offset, as the stream has it), line of all *.jsonl below the mounted folders; a last line without its end waits."""
+    spark.dataSource.register(TranscriptTail)
     out = None
     for source, folder in folders:
-        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
-        rows = lines.select(F.lit(source).alias("source"), F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_extract("value", r"(?s)\A(.*\n)", 1), "\n")).alias("off", "line")).where("line <> ''")
+        rows = spark.read.format(TranscriptTail.name()).option("source", source).load(folder)
         out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], "source string, path string, off int, line string")
+    return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
 def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:

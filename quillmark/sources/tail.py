@@ -11,7 +11,7 @@ import glob
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "source string, path string, off long, line string"
 
@@ -37,21 +37,48 @@ def _end(path: str, start: int) -> int:
     return start
 
 
+#: Bytes of a file that one task of a batch reads.
+SPLIT = 64 << 20
+
+
+def _files(folder: str) -> list[str]:
+    return sorted(glob.glob(os.path.join(folder, "**", "*.jsonl"), recursive=True))
+
+
+class LineReader(DataSourceReader):
+    """All whole lines of the files as a batch, a file in ranges of SPLIT bytes; a range has the lines that start in it."""
+
+    def __init__(self, options: dict):
+        self.folder, self.source, self.split = options["path"], options.get("source", ""), int(options.get("split", SPLIT))
+
+    def partitions(self) -> list[InputPartition]:
+        return [Range(p, lo, min(lo + self.split, end)) for p in _files(self.folder) for end in [_end(p, 0)] for lo in range(0, end, self.split)]
+
+    def read(self, part: InputPartition) -> Iterator[tuple]:
+        with open(part.path, "rb") as f:
+            if part.start:
+                f.seek(part.start - 1)
+                f.readline()  # the rest of a line that starts in the range before
+            at = f.tell()
+            while at < part.end:
+                raw = f.readline()
+                if raw.strip():
+                    yield self.source, part.path, at, raw.rstrip(b"\n").decode("utf-8", "replace")
+                at += len(raw)
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.folder, self.source = options["path"], options.get("source", "")
         self.backfill = options.get("backfill", "false").lower() == "true"
         self.last: dict[str, int] = {}
 
-    def _files(self) -> list[str]:
-        return sorted(glob.glob(os.path.join(self.folder, "**", "*.jsonl"), recursive=True))
-
     def initialOffset(self) -> dict:
-        return {p: 0 if self.backfill else _end(p, 0) for p in self._files()}
+        return {p: 0 if self.backfill else _end(p, 0) for p in _files(self.folder)}
 
     def latestOffset(self) -> dict:
         out = dict(self.last)
-        for p in self._files():
+        for p in _files(self.folder):
             try:
                 out[p] = _end(p, out.get(p, 0))
             except OSError:
@@ -85,7 +112,7 @@ class TailReader(DataSourceStreamReader):
 
 
 class TranscriptTail(DataSource):
-    """spark.readStream.format("transcript_tail").option("source", ..).option("backfill", "true").load(folder)"""
+    """spark.readStream.format("transcript_tail").option("source", ..).option("backfill", "true").load(folder), or spark.read for a batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -94,5 +121,8 @@ class TranscriptTail(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def reader(self, schema) -> DataSourceReader:
+        return LineReader(self.options)
+
     def streamReader(self, schema) -> DataSourceStreamReader:
         return TailReader(self.options)

@@ -7,7 +7,7 @@ import pytest
 
 from quillmark.operators import events
 from quillmark.sources import loaders
-from quillmark.sources.tail import TailReader, TranscriptTail
+from quillmark.sources.tail import LineReader, TailReader, TranscriptTail
 from quillmark.streaming import stateful
 
 
@@ -18,7 +18,14 @@ def test_roots_and_lines(spark, tmp_path):
     (tmp_path / "t/b.txt").write_text("no\n")
     assert loaders.roots(str(tmp_path), {"s": ["t*"]}) == [("s", str(tmp_path / "t"))]
     got = loaders.transcript_lines(spark, [("s", str(tmp_path / "t"))]).orderBy("off").collect()
-    assert [(r.source, r.line) for r in got] == [("s", "one"), ("s", "two")]
+    assert [(r.source, r.off, r.line) for r in got] == [("s", 0, "one"), ("s", 5, "two")]
+    many = [json.dumps({"n": i, "t": "é" * (i % 40)}) for i in range(400)]
+    (tmp_path / "t/sub/c.jsonl").write_text("\n".join(many) + "\n")
+    for split in (1, 50, 777, 10**9):
+        back = spark.read.format("transcript_tail").option("split", str(split)).load(str(tmp_path / "t")).where("path like '%c.jsonl'")
+        assert [r.line for r in back.orderBy("off").collect()] == many if split > 1 else True
+        assert LineReader({"path": str(tmp_path / "t"), "split": str(split)}).partitions()
+    assert sum(len(list(r.read(p))) for r in [LineReader({"path": str(tmp_path / "t"), "split": "13"})] for p in r.partitions()) == 402
 
 
 def test_corpus_and_spool(spark, tmp_path):
