@@ -188,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         return Lexicon(curve=(prior, 0.0, 0.0))
     words = materialize(_counted(rows, lambda text: set(WORD.findall(text)), bad, good).where((F.col("toxic") >= least) & (F.col("weight") > 0)), "toxic-words")
     weights = {r.word: float(r.weight) for r in words.where((F.col("z") >= sure) & (F.col("weight") >= strong)).collect()}  # words of a bounded sample
-    # Words that are toxic but for some phrases, or too weak by them.
-    doubtful = {r.word for r in words.where("clean > 0").collect()}
+    # Words that surely go with label 1 and yet stand in clean texts: some phrase may spare them.
+    doubtful = {r.word for r in words.where((F.col("z") >= sure) & (F.col("clean") > 0)).collect()}
     exceptions: tuple[str, ...] = ()
     if doubtful:
         pairs = _counted(rows, _pairs_with(doubtful), bad, good).where((F.col("clean") >= least) & (F.col("weight") <= 0))
