@@ -49,7 +49,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; it survives the loss of any executor."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `materialize` that nothing reads any more: all that came of them is written itself."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spared(names: list[str], own: tuple[str, ...]) -> list[str]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, materialize, slices
+from .common import ALNUM, Words, materialize, release, slices
 
 WINDOW, SHINGLE, BLOCK, TOKENS = 13, 5, 200_000, 4_000_000
 OWN = ("n_words", "spans", "items", "n_hit", "n_items", "items_sha256", "contaminated", "_key")
@@ -131,7 +131,9 @@ def plan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     rarest = each.groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "k")).alias("r")).where("r.n > 0")
     chosen = rarest.join(known.select("wid", "words"), "wid").select("wid", "words", "r.token", "r.k")
     links = listed.join(known.select("words", "wid"), "words").select("wid", "item_id").distinct()
-    return materialize(chosen, "window-prefixes"), materialize(links, "window-items")
+    out = materialize(chosen, "window-prefixes"), materialize(links, "window-items")
+    release(listed, known)
+    return out
 
 
 class Matcher:

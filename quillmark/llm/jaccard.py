@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import K3, U64, Words, blob, fragments, joined, materialize, mix, ragged, scaled, slices, text_bytes
+from .common import K3, U64, Words, blob, fragments, joined, materialize, mix, ragged, release, scaled, slices, text_bytes
 from .components import components
 
 #: Fragments of the n-gram order in which pairs are counted; n-grams that a fragment of a block holds at most, and pairs of a block.
@@ -312,7 +312,7 @@ def _linked(percent: int):
 
 def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int = FRAGMENTS) -> DataFrame:
     """The pairs (a, b) of sets whose overlaps, counted by fragment and summed, reach the threshold."""
-    pairs = materialize(pairs, "pairs")
+    made = pairs = materialize(pairs, "pairs")
     sizes = pairs.select(F.explode(F.array("a", "b")).alias("set")).join(sets.select("set", "n"), "set").agg(F.count("*"), F.sum("n")).first()
     n_pairs, grams = sizes[0] // 2, sizes[1] or 0
     blocks = max(1, -(-n_pairs // BLOCK_PAIRS), -(-grams // (parts * FRAGMENT_GRAMS)))
@@ -322,7 +322,9 @@ def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int = FRAGMENTS) -> Da
     packed = pairs.mapInArrow(_pack_pairs, _PACKED).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     packed = packed.select((F.col("part") * parts + F.col("_f")).cast("int").alias("part"), "kind", "a", "b", "c", "d")
     partial = segments.groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(_overlaps(parts * blocks), _PACKED)
-    return materialize(partial.groupBy("part").applyInArrow(_linked(80), "a long, b long"), "links")
+    links = materialize(partial.groupBy("part").applyInArrow(_linked(80), "a long, b long"), "links")
+    release(made)
+    return links
 
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -335,6 +337,37 @@ def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: least doc_id that links of a Jaccard similarity of 0.8 or more lead to."""
+    return grouped(docs, n).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, n: int = 5) -> DataFrame:
+    """Of docs, with all columns, one row of each component: that of least doc_id, of several with it that of least set, of repeated
+    ones any. Rows with a null doc_id, and those without words, stay."""
+    found = materialize(grouped(docs, n), "near-duplicates")
+    shared = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    surplus = found.where("component_id < doc_id").select("doc_id").distinct()
+    if shared.isEmpty():
+        return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    # An id of several rows does not tell which of them to keep: those rows are told by their sets.
+    shared = materialize(shared, "shared-ids")
+    plain = docs.join(surplus.unionByName(shared).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    best = found.where("set <> 0").groupBy("root").agg(F.min(F.struct("doc_id", "set")).alias("b")).select("b.doc_id", F.col("b.set").alias("_set"))
+    rows = docs.join(shared, "doc_id", "left_semi").select(*docs.columns)
+    names = rows.columns
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _set long"
+
+    def task(batches):
+        for batch in batches:
+            for run in slices(batch):
+                yield pa.RecordBatch.from_arrays([*(run.column(c) for c in names), pa.array(shingle_sets(run.column("text"), n)[2].view(np.int64))], [*names, "_set"])
+
+    rows = materialize(rows.mapInArrow(task, ddl), "shared-rows")
+    kept = rows.join(best, ["doc_id", "_set"], "left_semi").dropDuplicates(["doc_id", "_set"])
+    return plain.unionByName(kept.select(*names)).unionByName(rows.where("_set = 0").select(*names))
+
+
+def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, set, root (a set of the component; null without words) and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = fragments(text_bytes(docs), spark)
@@ -343,10 +376,11 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     own = packed.where("kind = 0").groupBy("part").applyInArrow(_own_sums, "set long, own long")
     judged = known.where("set <> 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).join(own, "set", "left")
     judged = materialize(judged.withColumn("alive", 5 * (F.col("n") - F.coalesce("own", F.lit(0))) >= 4 * F.col("n")).select("set", "rep", "n", "alive"), "judged-sets")
+    release(packed)
     left = judged.where("alive").select(F.col("rep").alias("doc_id"), "set")
     n_left = left.count()
     if not n_left:
-        target = judged.select("set", F.col("rep").alias("_least"))
+        target = judged.select("set", F.col("set").alias("root"), F.col("rep").alias("_least"))
         return _named(known, target)
     chosen = docs.join(F.broadcast(left) if n_left <= BROADCAST_SETS else left, "doc_id")
     sets = materialize(chosen.mapInArrow(_sets_left(n), "set long, n long, grams binary"), "sets")
@@ -386,12 +420,12 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     # From sets to documents: the least document of the sets of a component.
     rooted = judged.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("_least"))
-    return _named(known, rooted.join(least, "root").select("set", "_least"))
+    return _named(known, rooted.join(least, "root").select("set", "root", "_least"))
 
 
 def _named(known: DataFrame, target: DataFrame) -> DataFrame:
     """Documents with the least document of their set's component; one without a set is its own."""
     target = materialize(target, "component-roots")  # so that the join may split the copies of one set
-    out = known.where("set <> 0").join(target, "set", "left").select("doc_id", "n_shingles", "_least")
-    out = out.unionByName(known.where("set = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("_least")))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"))
+    out = known.where("set <> 0").join(target, "set", "left").select("doc_id", "n_shingles", "set", "root", "_least")
+    out = out.unionByName(known.where("set = 0").select("doc_id", "n_shingles", "set", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("_least")))
+    return out.select("doc_id", "n_shingles", "set", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"))

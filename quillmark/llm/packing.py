@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, release, slices
 from .tokens import Encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -112,7 +112,7 @@ def _packer(capacity: int, base: int):
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Pieces (any columns, with `length`) and their place: sequence_id, offset."""
     spark = items.sparkSession
-    todo = materialize(items.drop("sequence_id", "offset", "filled", "_group"), "pieces")
+    given = todo = materialize(items.drop("sequence_id", "offset", "filled", "_group"), "pieces")
     n, done, round_ = todo.count(), [], 0
     names = todo.columns
     schema = todo.schema.add("sequence_id", "long").add("offset", "long").add("filled", "long")
@@ -123,6 +123,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups))
         keyed = todo.select(*(F.col(f"`{c}`") for c in names), deal.alias("_group"))
         packed = materialize(keyed.repartition(tasks, "_group").groupBy("_group").applyInArrow(_packer(capacity, round_ << 56), schema), "packed")
+        if round_ == 0:
+            release(given)
         # A sequence as full as any shortest piece leaves it stays; what is emptier is packed again among its like.
         poor = F.col("filled") < F.lit(capacity - max(4, capacity // 100))
         n_poor = packed.where(poor).count() if groups > 1 else 0

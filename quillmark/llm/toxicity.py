@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spared
+from .common import materialize, release, spared
 
 #: Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -207,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         exceptions = tuple(p for p in exceptions if any(w in weights for w in p.split()))
     lexicon = Lexicon(weights, exceptions)
     measured = measure(rows, lexicon, ["label"]).select("label", "n_words", "total").toPandas()  # at most `sample` rows of three numbers
+    release(rows, words)
     x = np.stack([np.log1p(measured.total), np.log1p(measured.total * 100 / np.maximum(measured.n_words, 1))], axis=1)
     return Lexicon(weights, exceptions, logistic(x, measured.label.to_numpy()))
 

@@ -83,6 +83,33 @@ def test_jaccard_a_shingle_of_every_document(spark):
     assert len(joined(sent["c"], "<u4")) + len(joined(sent["d"], "<u4")) < 300 * 20 + 300 * 6 and len(joined(sent["d"], "<u4")) > 0
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_jaccard_one_row_of_each_component(spark, shared):
+    rows = [r for r in documents(3) if shared or r[0] is not None]
+    if not shared:
+        rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    else:
+        rows += [(8, "another text under the id of a copy, unlike all others there are", "de", "x", 1)] * 3
+    got = [tuple(r) for r in jaccard.representatives(frame(spark, rows), 5).collect()]
+    sets = {}
+    for d, t, *_ in rows:
+        w = split(lower(t))
+        sets[d, t] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    listed = sorted({(d, t) for d, t, *_ in rows if d is not None and sets[d, t]})
+    groups, todo = [], set(listed)
+    while todo:
+        group, edge = set(), {min(todo)}
+        while edge:
+            group |= edge
+            edge = {y for y in todo - group for x in edge if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+        todo -= group
+        groups.append(group)
+    kept = [(r[0], r[1]) for r in got if r[0] is not None and sets[r[0], r[1]]]
+    assert len(kept) == len(groups) and all(sum(k in g for k in kept) == 1 and min(d for d, _ in g) == next(k[0] for k in kept if k in g) for g in groups)
+    rest = [r for r in rows if r[0] is None or not sets[r[0], r[1]]]
+    assert sorted((r for r in got if r[0] is None or not sets[r[0], r[1]]), key=repr) == sorted(rest, key=repr)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
