@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor ke
 text pass through unchanged, whatever their names; n_chars follows the text where it changes.
 
 Defined results: stage 1 drops documents scored below the threshold; stage 2 keeps, of each component of near duplicates,
-the document of least doc_id (rows with a null doc_id stay; of rows that share a doc_id in a component all of the least
-stay); stage 3 replaces a text that holds repeats by its kept words and drops a document of which no word is left;
+the row of least doc_id (rows with a null doc_id and those without words stay; rows that share a doc_id are told by their shingles,
+and of repeated rows one stays); stage 3 replaces a text that holds repeats by its kept words and drops a document of which no word is left;
 stage 4 drops contaminated documents; stage 5 returns sequences' pieces with token ids. Empty tables pass through empty.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, jaccard, packing, quality, repeats
-from quillmark.llm.common import materialize, table
+from quillmark.llm.common import materialize, release, table
 
 
 def _hidden(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -32,9 +32,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), 5)
-    surplus = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    hidden, back = _hidden(docs)
+    return jaccard.representatives(hidden, 5).select(*back)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +67,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        release(*before)  # each stage is written from its predecessor alone
+        before = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    release(*before)  # the packed pieces are tables of their own
+    return out
 
 
 #: Learned rules and token ids are beyond SQL; tests hold the pipeline against a brute-force version.
