@@ -17,12 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")  # so that the join may split a root's many links
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, edges = edges, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         release(before, low)
         # Done when every node hangs on one root and no root on anything.
-        n, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
-        if n == nodes and edges.join(edges.select(F.col("u").alias("_r")), F.col("v") == F.col("_r"), "left_semi").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low")))).alias("e"))
+        if ends.groupBy("e.x").agg(F.sum("e.low").alias("hangs"), F.min("e.low").alias("low")).where("hangs > 1 or (hangs = 1 and low = 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -13,8 +13,8 @@ The steps, all exact:
 3. Only the sets left are built again, with 64-bit n-grams. They are put in order of rarity; the first n - ceil(0.8 n) + 1
    of each, less its own n-grams, are its postings. Similar sets share a posting within the bounds of length and position.
 4. Sets that are neighbours in a posting list are counted first; their links make components. Then postings that still
-   hold sets of two components give the pairs of different components, and those are counted too. Pairs within a component
-   cannot change it, so a large group of near copies needs no expansion into all its pairs.
+   hold sets of two components give the pairs of different components that bitmaps of their n-grams do not tell apart, and those
+   are counted too. Pairs within a component cannot change it, so a large group of near copies needs no expansion into all its pairs.
 5. Counting: pairs are dealt into blocks, whose number follows the pairs, and within a block the segments of its sets meet
    per fragment, of which there is a fixed number; partial overlaps are summed per pair and held against the threshold. So what is
    shuffled follows the pairs and their sets, and not pairs times a number that grows.
@@ -46,6 +46,8 @@ SALTED = 512
 SAMPLED, REACH = 1, 24
 #: N-grams before a posting that are looked at so that a pair is made once; a pair made twice is counted once.
 EARLIER = 64
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Sets that may be broadcast by their 16 bytes each; with more, the join is shuffled.
 BROADCAST_SETS = 500_000
 
@@ -310,14 +312,19 @@ def _linked(percent: int):
     return task
 
 
+def _pair(x: str, y: str) -> list:
+    """A pair of sets in order, and the n-grams of the two."""
+    a, b = F.col(f"{x}set"), F.col(f"{y}set")
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col(f"{x}n") + F.col(f"{y}n")).alias("both")]
+
+
 def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int = FRAGMENTS) -> DataFrame:
-    """The pairs (a, b) of sets whose overlaps, counted by fragment and summed, reach the threshold."""
-    made = pairs = materialize(pairs, "pairs")
-    sizes = pairs.select(F.explode(F.array("a", "b")).alias("set")).join(sets.select("set", "n"), "set").agg(F.count("*"), F.sum("n")).first()
-    n_pairs, grams = sizes[0] // 2, sizes[1] or 0
+    """The pairs (a, b; both: n-grams of the two) of sets whose overlaps, counted by fragment and summed, reach the threshold."""
+    made = pairs = materialize(pairs.distinct(), "pairs")
+    n_pairs, grams = pairs.agg(F.count("*"), F.coalesce(F.sum("both"), F.lit(0))).first()
     blocks = max(1, -(-n_pairs // BLOCK_PAIRS), -(-grams // (parts * FRAGMENT_GRAMS)))
     pairs = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("set"), "block").distinct()
+    used = pairs.select(F.col("a").alias("set"), "block").unionByName(pairs.select(F.col("b").alias("set"), "block")).distinct()
     segments = used.join(sets, "set").select("set", "n", "grams", "block").mapInArrow(_pack_sets(parts), _PACKED)
     packed = pairs.mapInArrow(_pack_pairs, _PACKED).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     packed = packed.select((F.col("part") * parts + F.col("_f")).cast("int").alias("part"), "kind", "a", "b", "c", "d")
@@ -327,6 +334,24 @@ def count_pairs(sets: DataFrame, pairs: DataFrame, parts: int = FRAGMENTS) -> Da
     return links
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """set, bits: a bitmap of its n-grams' hashes."""
+
+    def task(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            for lo in range(0, len(n), 2_000):
+                size = n[lo : lo + 2_000]
+                at = (mix(joined(pa.chunked_array([batch.column("grams").slice(lo, 2_000)]), "<u8") * K3) % U64(BITS)).astype(np.int64)
+                bits = np.zeros((len(size), BITS), bool)
+                bits[np.repeat(np.arange(len(size)), size), at] = True
+                packed = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                rows = pa.ListArray.from_arrays(np.arange(0, (len(size) + 1) * (BITS // 64), BITS // 64, dtype=np.int32), pa.array(packed.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("set").slice(lo, 2_000), rows], ["set", "bits"])
+
+    return sets.select("set", "n", "grams").mapInArrow(task, "set long, bits array<long>")
+
+
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings of n-grams that sets of two components or more hold, with their components."""
     named = postings.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -391,7 +416,7 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     order = Window.partitionBy("gram", "_salt").orderBy("n", F.xxhash64("gram", "set"))
     ahead = postings.withColumn("_salt", salt).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("set", "n", "pos")))
     pairs = ahead.where(F.col("next_set").isNotNull() & _possible("", "next_"))
-    links = count_pairs(sets, pairs.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct())
+    links = count_pairs(sets, pairs.select(*_pair("", "next_")))
     roots = components(links)
     # Sets that their neighbours did not link meet a few random sets of other components, then all that bounds leave.
     for round_ in range(SAMPLED):
@@ -402,19 +427,22 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
         reach = F.array(*(F.struct(*(F.lead(c, k).over(order).alias(c) for c in ("set", "n", "pos", "root"))) for k in range(1, REACH + 1)))
         ahead = ahead.withColumn("_ahead", reach).select("*", F.explode("_ahead").alias("y")).where("y.root <> root")
         ahead = ahead.select("set", "n", "pos", *(F.col(f"y.{c}").alias(f"next_{c}") for c in ("set", "n", "pos"))).where(_possible("", "next_"))
-        more = count_pairs(sets, ahead.select(F.least("set", "next_set").alias("a"), F.greatest("set", "next_set").alias("b")).distinct())
+        more = count_pairs(sets, ahead.select(*_pair("", "next_")))
         if not more.count():
             break
         links = links.unionByName(more)
         roots = components(links)
     # A pair is made at the first n-gram that both share; the last EARLIER n-grams before a posting tell (nearly) all others.
     before = Window.partitionBy("set").orderBy("pos").rowsBetween(-EARLIER, -1)
-    named = materialize(_mixed(postings, roots).withColumn("earlier", F.collect_list("gram").over(before)), "mixed-postings")
-    x = named.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("set", "n", "pos", "root", "earlier")))
-    y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "pos", "root", "earlier")))
-    fits = (F.col("x_root") < F.col("y_root")) & _possible("x_", "y_") & ~F.arrays_overlap("x_earlier", "y_earlier")
+    named = _mixed(postings, roots).withColumn("earlier", F.collect_list("gram").over(before)).join(_bitmaps(sets), "set")
+    named = materialize(named, "mixed-postings")
+    x = named.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("set", "n", "pos", "root", "earlier", "bits")))
+    y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("set", "n", "pos", "root", "earlier", "bits")))
+    # Sets differ by at least the bits in which their bitmaps do, and similar ones by no more than a ninth of their n-grams.
+    apart = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    fits = (F.col("x_root") < F.col("y_root")) & _possible("x_", "y_") & (9 * apart <= F.col("x_n") + F.col("y_n")) & ~F.arrays_overlap("x_earlier", "y_earlier")
     pairs = x.join(y, (x["gram"] == y["gram"]) & fits)
-    more = count_pairs(sets, pairs.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct())
+    more = count_pairs(sets, pairs.select(*_pair("x_", "y_")))
     if more.count():
         roots = components(links.unionByName(more))
     # From sets to documents: the least document of the sets of a component.
