@@ -43,28 +43,48 @@ WORD = re.compile(r"[^\W_]+")
 
 _LETTERS = {ord(k): v for k, v in HOMOGLYPHS.items()} | dict.fromkeys(map(ord, INVISIBLE))
 _ACCENTS = re.compile(r"[\u0300-\u036f]+")
-_SIGNED = re.compile(r"(?<=[^\W_])[@$!|+€]+(?=[^\W_])|(?<!\S)\$+(?=[a-z])")
-_NUMBERED = re.compile(r"(?<=[^\W\d_])[013-57-9]+|[013-57-9]+(?=[^\W\d_])")
+_SIGNS = re.compile(r"[@$!|+€]+(?=[a-z0-9])")
+_DIGITS = re.compile(r"[013-57-9]+")
+_JOINT = re.compile(r"[-.*_](?=[a-z])")
 _BROKEN = re.compile(r"[a-z]+(?:[-.*_][a-z]+)+")
 _SPELLED = re.compile(r"(?<!\S)[a-z](?: [a-z]){2,}(?!\S)")
-_ONE = re.compile(r"(?=\S*[a-z])[a-z0-9]*1[a-z0-9]*")
+_TOKEN = re.compile(r"[a-z0-9]+")
 _STANDS_FOR = str.maketrans(DIGITS | SIGNS)
 
 
+def _unsigned(m: re.Match) -> str:
+    """Signs between letters or digits, and a dollar that begins a word."""
+    text, at = m.string, m.start()
+    within = at > 0 and text[at - 1].isalnum()
+    begins = (at == 0 or text[at - 1].isspace()) and text[m.end()].isalpha() and set(m[0]) == {"$"}
+    return m[0].translate(_STANDS_FOR) if within or begins else m[0]
+
+
+def _unnumbered(m: re.Match) -> str:
+    """Digits beside a letter."""
+    text, a, b = m.string, m.start(), m.end()
+    beside = (a > 0 and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha())
+    return m[0].translate(_STANDS_FOR) if beside else m[0]
+
+
 def fold(text: str) -> tuple[str, str]:
     """The folded text by single spaces, and further readings: broken and spelled-out words joined, and 1 read as l."""
     text = text.lower()
     if not text.isascii():
-        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text)).translate(_LETTERS)
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+        if not text.isascii():
+            text = text.translate(_LETTERS)
     if any(x in text for x in SIGNS):
-        text = _SIGNED.sub(lambda m: m[0].translate(_STANDS_FOR), text)
+        text = _SIGNS.sub(_unsigned, text)
     more = []
     if any(x in text for x in DIGITS):
         if "1" in text:
-            more = [w.replace("1", "l").translate(_STANDS_FOR) for w in _ONE.findall(text)]
-        text = _NUMBERED.sub(lambda m: m[0].translate(_STANDS_FOR), text)
+            more = [w.replace("1", "l").translate(_STANDS_FOR) for w in _TOKEN.findall(text) if "1" in w and not w.isdigit()]
+        text = _DIGITS.sub(_unnumbered, text)
     text = " ".join(text.split())
-    more += [re.sub(r"[^a-z]", "", w) for w in (*_BROKEN.findall(text), *_SPELLED.findall(text))]
+    if any(m.start() and text[m.start() - 1].isalpha() for m in _JOINT.finditer(text)):
+        more += [re.sub(r"[^a-z]", "", w) for w in _BROKEN.findall(text)]
+    more += [w.replace(" ", "") for w in _SPELLED.findall(text)]
     return text, " ".join(more)
 
 
