@@ -45,4 +45,15 @@ select w.doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed,
 from w left join r using (doc_id)
 """
 
-ORACLE_SQL = {"op3_jaccard_join": OP3, "op4_decontamination": OP4, "op5_warc_records": OP5, "op8_suffix_repeats": OP8}
+OP11 = r"""
+with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || coalesce(doc_id::varchar, '')) as k from documents),
+h as (select *, len(w) as n, ('0x' || k[1:8])::bigint as h1, ('0x' || k[9:16])::bigint as h2, ('0x' || k[17:24])::bigint as h3, ('0x' || k[25:32])::bigint as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(w[1 : a], '') as prefix, array_to_string(w[a + 1 : b], '') as middle, array_to_string(w[b + 1 :], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from p
+"""
+
+ORACLE_SQL = {"op3_jaccard_join": OP3, "op4_decontamination": OP4, "op5_warc_records": OP5, "op8_suffix_repeats": OP8, "op11_rank_select_infill": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, jaccard, packing, quality, repeats, sharding, token_files, toxicity, warc
+from . import chroma, decontaminate, infill, jaccard, packing, quality, repeats, sharding, token_files, toxicity, warc
 from .common import materialize, table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -71,5 +71,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
-_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op7_chroma_alignment, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules)
+def op11_rank_select_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, plain=10, spm=20)
+    return made.select("doc_id", F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"), F.col("_middle_chars").alias("middle_chars"),
+                       F.sha2("_output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op7_chroma_alignment, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules, op11_rank_select_infill)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
