@@ -56,4 +56,33 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end as pre
   sha256(text) as restored_sha256 from p
 """
 
-ORACLE_SQL = {"op3_jaccard_join": OP3, "op4_decontamination": OP4, "op5_warc_records": OP5, "op8_suffix_repeats": OP8, "op11_rank_select_infill": OP11}
+# The query compares neighbours in random orders; where it finds all links, as it does on tables of this size, SQL's join says the same.
+OP12 = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.93),
+r as (select vec_id as d, vec_id as t from embeddings union select r.d, l.b from r join l on l.a = r.t),
+c as (select d as vec_id, min(t) as component_id from r group by d), n as (select a as vec_id, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c using (vec_id) left join n using (vec_id)
+"""
+
+
+def _lloyd(k: int, rounds: int, dim: int) -> str:
+    """Rounds of nearest centroids and floored means, each a pair of tables."""
+    made = [
+        f"v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings where len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as (select row_number() over (order by h) - 1 as c, x as m from (select x, sha256('2:' || vec_id) as h from v order by h limit {k}))",
+    ]
+    for r in range(rounds + 1):
+        made.append(f"a{r} as (select vec_id, any_value(x) as x, min((d, c)) as best from (select vec_id, x, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v cross join c{r}) group by vec_id)")
+        if r < rounds:
+            means = f"select best[2] as c, i, floor(sum(x[i])::double / count(*))::bigint as m from a{r} cross join generate_series(1, {dim}) g(i) group by best[2], i"
+            made.append(f"m{r} as (select c, list(m order by i) as m from ({means}) group by c)")
+            made.append(f"c{r + 1} as (select c{r}.c, coalesce(m{r}.m, c{r}.m) as m from c{r} left join m{r} using (c))")
+    return "with " + ", ".join(made) + f"""
+select vec_id, best[2]::int as cluster, best[1] as distance, (sum(best[1]) over (partition by best[2]))::bigint as cluster_inertia, (sum(best[1]) over ())::bigint as inertia,
+  sha256(array_to_string(m, ',')) as centroid_sha256 from a{rounds} join c{rounds} on c = best[2]"""
+
+
+OP13 = _lloyd(40, 5, 64)
+
+ORACLE_SQL = {"op3_jaccard_join": OP3, "op4_decontamination": OP4, "op5_warc_records": OP5, "op8_suffix_repeats": OP8, "op11_rank_select_infill": OP11, "op12_projection_passes": OP12, "op13_drake_centroids": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, infill, jaccard, packing, quality, repeats, sharding, token_files, toxicity, warc
+from . import centroids, chroma, decontaminate, infill, jaccard, neardup_vectors, packing, quality, repeats, sharding, token_files, toxicity, warc
 from .common import materialize, table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -77,5 +77,13 @@ def op11_rank_select_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("_output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
 
 
-_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op7_chroma_alignment, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules, op11_rank_select_infill)
+def op12_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op13_drake_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed=2))
+
+
+_ALL = (op1_toxicity_lexicon, op2_sum_of_squares_packing, op3_jaccard_join, op4_decontamination, op5_warc_records, op6_token_planes, op7_chroma_alignment, op8_suffix_repeats, op9_interleaved_shards, op10_quality_rules, op11_rank_select_infill, op12_projection_passes, op13_drake_centroids)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
