@@ -1,18 +1,16 @@
 """Enrichment passes: a model backend behind columns, gated, staged and masked.
 
 A backend turns a text column into ranked labels and entities as columns. `KeywordBackend` votes by words and finds entities
-by word lists and patterns: a rule-based stand-in, natively in Spark. `ModelBackend` runs a learned model in iterator pandas
-UDFs, loads it once per worker, brings its answers into one shape and tells failed rows by null. Since Spark evaluates such a
-UDF for every row, gated rows are split off before it, not masked after.
+by word lists and patterns: a rule-based stand-in, natively in Spark, asked with labels' ids. `models.ModelBackend` runs a learned model
+and asks it with the labels' texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +33,9 @@ class Backend(Protocol):
     def classify(self, seen: Column, task: str, labels: list[str]) -> Column:
         """RANKED, best first; null where the model failed."""
 
+    def conditioned(self, seen: Column, task: str, on: Column, subsets: dict[str, list[str]]) -> Column:
+        """As classify, over the labels that a row's own condition has; null where it has none."""
+
     def entities(self, text: Column, labels: list[str], seen: Column | None = None) -> Column:
         """FOUND; null where the model failed."""
 
@@ -76,6 +77,12 @@ class KeywordBackend:
         ranked = F.transform(F.array_sort(F.filter(F.array(*votes), lambda v: v["n"] < 0)), lambda v: F.struct(v["label"].alias("label"), (0.6 + 0.1 * F.least(-v["n"], F.lit(4))).alias("confidence")))
         return F.when(F.size(seen) == 0, none).otherwise(F.transform(F.array(ranked), lambda r: F.when(F.size(r) == 0, none).otherwise(r))[0])
 
+    def conditioned(self, seen: Column, task: str, on: Column, subsets: dict[str, list[str]]) -> Column:
+        out = F.lit(None).cast(RANKED)
+        for key, labels in subsets.items():
+            out = F.when(on == key, self.classify(seen, task, labels)).otherwise(out)
+        return out
+
     def entities(self, text: Column, labels: list[str], seen: Column | None = None) -> Column:
         """Words of the lists where they first stand, in the lists' order; labels with a pattern by it."""
         lower, seen = F.lower(F.coalesce(text, F.lit(""))), self.view(text) if seen is None else seen
@@ -111,67 +118,6 @@ def normalise(answer: Any) -> list[tuple[str | None, float]]:
     return found or [(None, 0.0)]
 
 
-class Model(Protocol):
-    """What a loader returns. Both take a batch of texts and answer for each."""
-
-    def classify(self, texts: list[str], task: str, labels: list[str]) -> list[Any]: ...
-
-    def entities(self, texts: list[str], labels: list[str]) -> list[list[dict]]: ...
-
-
-@dataclass
-class ModelBackend:
-    """A learned model: `load` runs once per worker. A batch that fails is tried row by row; a row that fails is null."""
-
-    load: Callable[[], Model]
-    batch: int = 64
-    native = False
-
-    def view(self, text: Column) -> Column:
-        return F.coalesce(text, F.lit(""))
-
-    def prefixed(self, prefix: Column, text: Column, seen: Column) -> Column:
-        return F.concat(prefix, seen)
-
-    def _udf(self, ask: Callable[[Any, list[str]], list[Any]], shape: Callable[[Any, str], Any], returns: str):
-        load, size = self.load, self.batch
-
-        @F.pandas_udf(returns)
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = None
-            for texts in parts:
-                out: list[Any] = []
-                for lo in range(0, len(texts), size):
-                    held = texts.iloc[lo : lo + size].tolist()
-                    try:
-                        model = load() if model is None else model
-                        got = [shape(a, t) for a, t in zip(ask(model, held), held, strict=True)]
-                    except Exception:  # noqa: BLE001  a model's failure is a null answer, never a failed job
-                        got = []
-                        for t in held:
-                            try:
-                                model = load() if model is None else model
-                                got.append(shape(ask(model, [t])[0], t))
-                            except Exception:  # noqa: BLE001
-                                got.append(None)
-                    out += got
-                yield pd.Series(out, dtype=object)
-
-        return run
-
-    def classify(self, seen: Column, task: str, labels: list[str]) -> Column:
-        ask = lambda model, texts: model.classify(texts, task, labels)
-        return self._udf(ask, lambda a, _: [{"label": k, "confidence": c} for k, c in normalise(a)], RANKED)(seen)
-
-    def entities(self, text: Column, labels: list[str], seen: Column | None = None) -> Column:
-        ask = lambda model, texts: model.entities(texts, labels)
-        shape = lambda a, t: [{"label": e["label"], "text": e["text"], "start": int(e.get("start", t.find(e["text"]))), "confidence": float(e.get("confidence", 0.0))} for e in a]
-        return self._udf(ask, shape, FOUND)(F.coalesce(text, F.lit("")))
-
-    def multi(self, text: Column, labels: list[str], threshold: float) -> Column:
-        return F.filter(self.classify(self.view(text), "multi_label", labels), lambda r: r["confidence"] >= threshold)
-
-
 def labeled(value, confidence, producer: str) -> Column:
     return F.struct(T.col(value).cast("string").alias("value"), T.col(confidence).cast("double").alias("confidence"), F.lit(producer).alias("producer"))
 
@@ -203,13 +149,22 @@ def same(labels) -> dict[str, str]:
     return {x: x for x in labels}
 
 
-def conditioned(ranked_of: Callable[[list[str]], Column], on: Column, subsets: dict[str, dict[str, str]], name: str) -> Column:
-    """Labels chosen by an earlier facet's id; an id without labels gives an empty result."""
-    out = None
+def top_domain(ranked: Column, ids: dict[str, str]) -> Column:
+    """The best domain as an id; a label that is none stands as it is, and without any it is general."""
+    best = F.try_element_at(ranked, F.lit(1))
+    value = F.coalesce(_ids(ids)[best["label"]], best["label"], F.lit("general"))
+    found = labeled(value, F.coalesce(best["confidence"], F.lit(0.0)), T.versioned("domain"))
+    return F.when(ranked.isNull(), empty(T.versioned("domain"))).otherwise(found)
+
+
+def conditioned(backend: Backend, seen: Column, on: Column, subsets: dict[str, dict[str, str]], name: str) -> Column:
+    """Labels (text to id) chosen by an earlier facet's id; an id without labels gives an empty result."""
+    ranked = backend.conditioned(seen, name, on, {k: list(labels) for k, labels in subsets.items() if labels})
+    out = empty(T.versioned(name))
     for key, labels in subsets.items():
-        found = top(ranked_of(list(labels)), same(labels), list(labels), name)
-        out = F.when(on == key, found) if out is None else out.when(on == key, found)
-    return F.coalesce(out, empty(T.versioned(name)))
+        if labels:
+            out = F.when(on == key, top(ranked, labels, list(labels), name)).otherwise(out)
+    return out
 
 
 @dataclass(frozen=True)
@@ -223,6 +178,7 @@ class CustomPass:
     condition_on: str | None = None
     subsets: tuple[tuple[str, tuple[tuple[str, str], ...]], ...] = ()
     is_system: bool = False
+    descriptions: tuple[tuple[str, str], ...] = ()  # text, hint
 
 
 BUILT_IN = {"task_type", "domain", "sensitivity", "speech_act", "activity_type", "personal", "function_guess", "subcategory"}
@@ -251,33 +207,48 @@ def rejects_digest(why: dict[str, str]) -> str:
     return ",".join(sorted(f"{k}:{v}" for k, v in why.items()))
 
 
+def against(texts: list[str]) -> list[str]:
+    """A lone label is asked against its opposite."""
+    return [*texts, f"Not {texts[0]}"] if len(texts) == 1 else list(texts)
+
+
 def custom(p: CustomPass, text: Column, backend: Backend, facets: dict[str, Column]) -> Column:
     """A custom pass's result: struct of labeled, labels and entities."""
+    name = p.title or p.key
+    if p.kind == "entity" and not p.condition_on:
+        return custom_result(p, backend.entities(text, [i for i, _ in p.labels]))
+    if p.kind == "multi_label" and not p.condition_on:
+        return custom_result(p, backend.multi(text, [t or i for i, t in p.labels], 0.5 if p.threshold is None else p.threshold))
+    if p.condition_on:
+        subsets = {k: against([t or i for i, t in labels]) for k, labels in p.subsets if labels}
+        return custom_result(p, backend.conditioned(backend.view(text), name, facets[p.condition_on], subsets), facets[p.condition_on])
+    return custom_result(p, backend.classify(backend.view(text), name, against([t or i for i, t in p.labels])))
+
+
+def custom_result(p: CustomPass, found: Column, on: Column | None = None) -> Column:
+    """A pass's answer (RANKED in texts, or FOUND) in ids and masks; `on`: the id that a conditioned pass depends on."""
     producer = T.custom_producer(p.key, p.version)
     no_labels, no_entities = F.array().cast("array<struct<label:string,confidence:double>>"), F.array().cast("array<struct<label:string,start:int,confidence:double,masked:string>>")
 
     def single(labels: tuple[tuple[str, str], ...]) -> Column:
-        texts = [t or i for i, t in labels]
         ids = {t or i: i for i, t in labels}
-        neg = f"Not {texts[0]}" if len(texts) == 1 else None
-        ranked = backend.classify(backend.view(text), p.title or p.key, texts + ([neg] if neg else []))
-        best = F.try_element_at(ranked, F.lit(1))
-        untagged = ranked.isNull() | (F.size(ranked) == 0) | ((best["label"] == neg) if neg else F.lit(False))
+        best = F.try_element_at(found, F.lit(1))
+        untagged = found.isNull() | (F.size(found) == 0) | ((best["label"] == against(list(ids))[-1]) if len(ids) == 1 else F.lit(False))
         return F.when(untagged, empty(producer)).otherwise(labeled(F.coalesce(_ids(ids)[best["label"]], F.lit("")), best["confidence"], producer))
 
     if p.condition_on:
-        on, out = facets[p.condition_on], None
+        out = empty(producer)
         for key, labels in p.subsets:
-            out = F.when(on == key, single(labels)) if out is None else out.when(on == key, single(labels))
-        return F.struct(F.coalesce(out, empty(producer)).alias("labeled"), no_labels.alias("labels"), no_entities.alias("entities"))
+            if labels:
+                out = F.when(on == key, single(labels)).otherwise(out)
+        return F.struct(out.alias("labeled"), no_labels.alias("labels"), no_entities.alias("entities"))
     if p.kind == "multi_label":
-        threshold = 0.5 if p.threshold is None else p.threshold
         ids = {t or i: i for i, t in p.labels}
-        got = F.transform(backend.multi(text, list(ids), threshold), lambda r: F.struct(_ids(ids)[r["label"]].alias("label"), r["confidence"].alias("confidence")))
+        got = F.transform(found, lambda r: F.struct(F.coalesce(_ids(ids)[r["label"]], F.lit("")).alias("label"), r["confidence"].alias("confidence")))
         return F.struct(empty(producer).alias("labeled"), got.alias("labels"), no_entities.alias("entities"))
     if p.kind == "entity":
-        found = F.transform(backend.entities(text, [i for i, _ in p.labels]), lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["confidence"].alias("confidence"), T.mask(e["label"], e["text"]).alias("masked")))
-        return F.struct(empty(producer).alias("labeled"), no_labels.alias("labels"), F.concat(found, no_entities).alias("entities"))
+        spans = F.transform(found, lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["confidence"].alias("confidence"), T.mask(e["label"], e["text"]).alias("masked")))
+        return F.struct(empty(producer).alias("labeled"), no_labels.alias("labels"), F.concat(spans, no_entities).alias("entities"))
     return F.struct(single(p.labels).alias("labeled"), no_labels.alias("labels"), no_entities.alias("entities"))
 
 
@@ -286,74 +257,95 @@ FACETS = ("task_type", "domain", "activity_type", "personal", "function_guess",
 RANKED_FACETS = ("task_type", "speech_act", "subcategory")
 
 
+#: Fields of meta that an agent's step fills.
+AGENTIC = ("framework", "agent_role", "workflow", "step")
+
+
+def _meta_fields(rows: DataFrame) -> set[str]:
+    return set(rows.schema["meta"].dataType.names)
+
+
+def agentic(rows: DataFrame) -> Column:
+    """Whether a row's meta says anything about an agent; false where it has no such fields."""
+    if not {*AGENTIC, "recent_steps"} <= _meta_fields(rows):
+        return F.lit(False)
+    some = F.size(F.coalesce(F.col("meta.recent_steps"), F.array().cast("array<string>"))) > 0
+    for name in AGENTIC:
+        some = some | (F.coalesce(F.col(f"meta.{name}"), F.lit("")) != "")
+    return some
+
+
+def full_preamble(rows: DataFrame) -> Column:
+    return T.preamble("meta", agentic={*AGENTIC, "recent_steps"} <= _meta_fields(rows))
+
+
+def coding_function() -> Column:
+    """Prompts of coding tools are engineering, whatever their words."""
+    return labeled(F.lit("eng"), F.lit(1.0), T.versioned("function_guess"))
+
+
+def first_wave(rows: DataFrame, speech: Column, guess: Column, speech_ids: dict[str, str], gating: bool) -> DataFrame:
+    """Speech act, sensitivity (rows have `spans`) and the gate, of the ranked answers of the always-run passes."""
+    rows = rows.withColumn("_speech", speech).withColumn("_guess", F.try_element_at(guess, F.lit(1)))
+    rows = rows.withColumn("speech_act", top(F.col("_speech"), speech_ids, list(speech_ids), "speech_act")).withColumn("speech_act_alt", alternates(F.col("_speech"), speech_ids))
+    rows = rows.withColumn("_class", T.severity_class(F.transform("spans", lambda e: e["label"])))
+    # The class by rule, else the backend's own guess, else none.
+    own = F.when(F.coalesce(F.col("_guess.label"), F.lit("")) != "", F.col("_guess"))
+    value, sure = F.coalesce("_class", own["label"], F.lit("none")), F.when(F.col("_class").isNotNull(), 1.0).otherwise(F.coalesce(own["confidence"], F.lit(0.0)))
+    rows = rows.withColumn("sensitivity", labeled(value, sure, T.versioned("sensitivity")))
+    return rows.withColumn("gated", (T.content_free("text") | (F.col("speech_act.value") == "fragment")) if gating else F.lit(False))
+
+
+def with_subcategory(run: DataFrame, ranked: Column, of: Column, subsets: dict[str, dict[str, str]], gated: Callable[[Column], Column]) -> DataFrame:
+    """subcategory and its alternates; ranked: ids of the labels of the function `of`. Without any the function's first, at 0."""
+    every = {i: i for labels in subsets.values() for i in labels}
+    known, head = of.isin(*subsets), _ids({k: next(iter(labels)) for k, labels in subsets.items()})
+    unranked = F.struct(head[of].alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("producer"))
+    run = run.withColumn("_subcategory", ranked)
+    best = F.when(F.size("_subcategory") == 0, unranked).otherwise(top(F.col("_subcategory"), every, list(every), "subcategory"))
+    run = run.withColumn("subcategory", gated(F.when(known, best).otherwise(empty(T.versioned("subcategory")))))
+    return run.withColumn("subcategory_alt", gated(F.when(known, alternates(F.col("_subcategory"), every))))
+
+
+def as_profiles(run: DataFrame, keep: list[str], customs: bool) -> DataFrame:
+    """What leaves: run has `gated`, `_failed` and the facets."""
+    status = F.when(F.col("gated"), "gated").when(F.col("_failed"), "partial").otherwise("enriched")
+    return run.select(
+        *keep, status.alias("status"), "speech_act", "speech_act_alt", "sensitivity", sensitivity.masked("spans").alias("spans"), *FACETS, "task_type_alt", "subcategory_alt", "entities",
+        F.coalesce(F.length("text"), F.lit(0)).alias("prompt_chars"), F.lit(vocab.SCHEMA_VERSION).alias("schema_version"), *(["custom"] if customs else []),
+    )
+
+
 def profiles(rows: DataFrame, backend: Backend | None = None, gating: bool = True, customs: list[CustomPass] = (), keep: list[str] | None = None) -> DataFrame:
     """rows: text, source, meta (struct). Profiles without any text but that of domain entities (`entities`, which sinks blank):
     always-run passes, the gate, gated passes, second wave. A pass whose model fails leaves its facet empty and the status partial."""
     backend = backend or KeywordBackend()
     keep = keep or [c for c in rows.columns if c not in ("text", "meta")]
-    native = getattr(backend, "native", False)
-
-    def facet(name: str, labels: dict[str, str], on: str) -> Column:
-        """Ranked labels, under `_<name>`; heads and tails are taken from it."""
-        return backend.classify(F.col(on), name, list(labels)).alias(f"_{name}")
-
-    first = rows.withColumn("_raw", backend.view(F.col("text")))
-    first = first.withColumn("_found", F.lit(None).cast(FOUND) if native else backend.entities(F.col("text"), vocab.SENSITIVE_ENTITIES))
-    first = first.withColumn("spans", sensitivity.spans("text", found=None if native else F.coalesce("_found", F.array().cast(FOUND))))
-    first = first.withColumn("_speech_act", facet("speech_act", vocab.SPEECH_ACTS, "_raw"))
-    first = first.withColumn("speech_act", top(F.col("_speech_act"), same(vocab.SPEECH_ACTS), list(vocab.SPEECH_ACTS), "speech_act"))
-    first = first.withColumn("speech_act_alt", alternates(F.col("_speech_act"), same(vocab.SPEECH_ACTS)))
-    first = first.withColumn("_class", T.severity_class(F.transform("spans", lambda e: e["label"])))
-    # The class by rule, else the backend's own guess, else none.
-    first = first.withColumn("_sensitivity", backend.classify(F.col("_raw"), "sensitivity", vocab.SENSITIVITIES))
-    guess = F.try_element_at("_sensitivity", F.lit(1))
-    guess = F.when(F.coalesce(guess["label"], F.lit("")) != "", guess)
-    value, sure = F.coalesce("_class", guess["label"], F.lit("none")), F.when(F.col("_class").isNotNull(), 1.0).otherwise(F.coalesce(guess["confidence"], F.lit(0.0)))
-    first = first.withColumn("sensitivity", labeled(value, sure, T.versioned("sensitivity")))
-    first = first.withColumn("gated", (T.content_free("text") | (F.col("speech_act.value") == "fragment")) if gating else F.lit(False))
-    run, open_ = (first, ~F.col("gated")) if native else (first.where(~F.col("gated")), F.lit(True))
+    if not getattr(backend, "native", False):
+        return backend.profiles(rows, gating, list(customs), keep)
+    first = rows.withColumn("_raw", backend.view(F.col("text"))).withColumn("spans", sensitivity.spans("text"))
+    speech = backend.classify(F.col("_raw"), "speech_act", list(vocab.SPEECH_ACTS))
+    first = first_wave(first, speech, backend.classify(F.col("_raw"), "sensitivity", vocab.SENSITIVITIES), same(vocab.SPEECH_ACTS), gating)
+    open_ = ~F.col("gated")
 
     def gated(x: Column) -> Column:
         return F.when(open_, x)
 
-    run = run.withColumn("_context", gated(backend.prefixed(T.preamble("meta"), F.col("text"), F.col("_raw"))))
-    ranked = {"task_type": (vocab.TASK_TYPES, "_context"), "domain": (vocab.DOMAINS, "_raw"), "activity_type": (vocab.ACTIVITIES, "_context"), "personal": (vocab.PERSONAL, "_context"), "function_guess": (vocab.FUNCTIONS, "_context")}
-    run = run.select("*", *(gated(facet(name, labels, on)).alias(f"_{name}") for name, (labels, on) in ranked.items()), gated(backend.entities(F.col("text"), vocab.DOMAIN_ENTITIES, F.col("_raw"))).alias("entities"))
-    run = run.withColumns({name: gated(top(F.col(f"_{name}"), same(labels), list(labels), name)) for name, (labels, _) in ranked.items()})
+    run = first.withColumn("_context", gated(backend.prefixed(T.preamble("meta"), F.col("text"), F.col("_raw"))))
+    run = run.withColumn("_about", F.when(agentic(rows), backend.prefixed(full_preamble(rows), F.col("text"), F.col("_raw"))).otherwise(F.col("_raw")))
+    wanted = {"task_type": (vocab.TASK_TYPES, "_context"), "domain": (vocab.DOMAINS, "_about"), "activity_type": (vocab.ACTIVITIES, "_context"), "personal": (vocab.PERSONAL, "_context"), "function_guess": (vocab.FUNCTIONS, "_context")}
+    ranked = [gated(backend.classify(F.col(on), name, list(labels))).alias(f"_{name}") for name, (labels, on) in wanted.items()]
+    run = run.select("*", *ranked, gated(backend.entities(F.col("text"), vocab.DOMAIN_ENTITIES, F.col("_raw"))).alias("entities"))
+    run = run.withColumns({name: gated(top(F.col(f"_{name}"), same(labels), list(labels), name)) for name, (labels, _) in wanted.items()})
     run = run.withColumn("task_type_alt", gated(alternates(F.col("_task_type"), same(vocab.TASK_TYPES))))
-    # Prompts of coding tools are engineering, whatever their words.
     coding = F.col("source").isin(vocab.CONTEXT_SOURCES)
-    run = run.withColumn("function_guess", gated(F.when(coding, labeled(F.lit("eng"), F.lit(1.0), T.versioned("function_guess"))).otherwise(F.col("function_guess"))))
+    run = run.withColumn("function_guess", gated(F.when(coding, coding_function()).otherwise(F.col("function_guess"))))
     subsets = {k: {f"{k}.{s}": t for s, t in v.items()} for k, v in vocab.SUBCATEGORIES.items()}
-    of, second = F.col("function_guess.value"), None
-    for key, labels in subsets.items():
-        got = backend.classify(F.col("_context"), "subcategory", list(labels))
-        second = F.when(of == key, got) if second is None else second.when(of == key, got)
-    run = run.withColumn("_subcategory", gated(second))
-    every = {i: i for labels in subsets.values() for i in labels}
-    known, head = of.isin(*subsets), _ids({k: next(iter(labels)) for k, labels in subsets.items()})
-    unranked = F.struct(head[of].alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("producer"))
-    best = F.when(F.size("_subcategory") == 0, unranked).otherwise(top(F.col("_subcategory"), every, list(every), "subcategory"))
-    run = run.withColumn("subcategory", gated(F.when(known, best).otherwise(empty(T.versioned("subcategory")))))
-    run = run.withColumn("subcategory_alt", gated(F.when(known, alternates(F.col("_subcategory"), every))))
-    failed = F.col("_speech_act").isNull() | F.col("_sensitivity").isNull() | F.col("entities").isNull() | (known & F.col("_subcategory").isNull())
-    for name in ranked:
-        failed = failed | (F.col(f"_{name}").isNull() & ~coding if name == "function_guess" else F.col(f"_{name}").isNull())
-    failed = failed if native else failed | F.col("_found").isNull()
-    run = run.withColumn("_failed", gated(failed)).withColumn("entities", gated(F.coalesce("entities", F.array().cast(FOUND))))
+    of = F.col("function_guess.value")
+    run = with_subcategory(run, gated(backend.conditioned(F.col("_context"), "subcategory", of, {k: list(v) for k, v in subsets.items()})), of, subsets, gated)
+    run = run.withColumn("_failed", F.lit(False)).withColumn("entities", gated(F.coalesce("entities", F.array().cast(FOUND))))
     facets = {name: F.col(f"{name}.value") for name in (*FACETS, "speech_act", "sensitivity")}
     entries = [F.struct(F.lit(p.key).alias("key"), custom(p, F.col("text"), backend, facets).alias("value")) for p in screen(list(customs))[0]]
     if entries:
         run = run.withColumn("custom", gated(F.map_from_entries(F.array(*entries))))
-    both = run
-    made = ["_failed", "entities", *FACETS, "task_type_alt", "subcategory_alt", *(["custom"] if entries else [])]
-    if not native:
-        held = first.where("gated")
-        for name in made:
-            held = held.withColumn(name, F.lit(None).cast(run.schema[name].dataType))
-        both = run.select(*first.columns, *made).unionByName(held)
-    status = F.when(F.col("gated"), "gated").when(F.col("_failed"), "partial").otherwise("enriched")
-    return both.select(
-        *keep, status.alias("status"), "speech_act", "speech_act_alt", "sensitivity", sensitivity.masked("spans").alias("spans"), *FACETS, "task_type_alt", "subcategory_alt", "entities",
-        F.coalesce(F.length("text"), F.lit(0)).alias("prompt_chars"), F.lit(vocab.SCHEMA_VERSION).alias("schema_version"), *(["custom"] if entries else []),
-    )
+    return as_profiles(run, keep, bool(entries))

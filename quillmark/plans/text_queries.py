@@ -234,8 +234,8 @@ def conditioned_label(spark, sf_dir):
     """The labels on offer depend on the source, the label chosen on the text."""
     backend = passes.KeywordBackend({"sub": {"x": ["and"], "y": ["the"], "de": ["und", "der"], "es": ["los", "que"]}})
     rows = table(spark, sf_dir, "documents").withColumn("seen", backend.view(F.col("text")))
-    subsets = {"src1": {"x": "", "y": ""}, "src2": {"de": "", "es": "", "other": ""}}
-    found = passes.conditioned(lambda labels: backend.classify(F.col("seen"), "sub", labels), F.col("source"), subsets, "sub")
+    subsets = {"src1": passes.same(["x", "y"]), "src2": passes.same(["de", "es", "other"])}
+    found = passes.conditioned(backend, F.col("seen"), F.col("source"), subsets, "sub")
     return rows.select("doc_id", found["value"].alias("value"))
 
 
