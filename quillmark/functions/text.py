@@ -54,6 +54,7 @@ def content_free(c, most: int = 5) -> Column:
 def is_placeholder(c) -> Column:
     """Values of a template's, a mask's or a stand-in's shape; an empty value is none."""
     t = trimmed(F.coalesce(col(c), F.lit("")))
+    # The four shapes.
     template = t.rlike(r"\A(<[^\n]*>|\$\{?[A-Za-z0-9_]+\}?|\{\{[^\n]*\}\}|%[A-Za-z0-9_]+%)\z")
     masked = t.rlike(r"(\*{3,}|[xX]{4,}|…{3,}|•{3,})")
     pronoun = t.rlike(r"(?i)\A(your|my|the)[_\-]")

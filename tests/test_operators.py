@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import re
 from collections import Counter
 from datetime import datetime, timedelta
@@ -148,6 +149,81 @@ def test_credentials(spark, tmp_path):
     assert found == {i: [(f"r{i}", 2, 2 + len(f"k{i}-0123abcd"))] for i in range(0, 300, 37)} | {400: [], 401: []}
 
 
+def test_long_secrets_are_covered(spark):
+    tail = "a1B2c3D4e5F6g7H8i9J0" * 15
+    texts = [f"password: {tail} end", f"glpat-{tail}", f"ghp_{tail} x", f"sk_live_{tail}", f"sk-{tail} x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: [(s.start, s.end) for s in r.s] for r in df.select("i", credentials.detect("text").alias("s")).collect()}
+    assert got == {0: [(10, 310)], 1: [(0, 306)], 2: [(0, 304)], 3: [(0, 308)], 4: []}
+    spans = {r.i: [(s.label, s.text) for s in r.s] for r in df.select("i", sensitivity.spans("text", ["api_key", "secret"]).alias("s")).collect()}
+    assert ("secret", f"password: {tail}") in spans[0] and ("api_key", f"ghp_{tail}") in spans[2] and ("api_key", f"sk-{tail}") in spans[4]
+
+
+def one_by_one(rules, text):
+    """Every rule tried in turn, with its keywords looked for one after the other."""
+    kept = []
+    for r in rules:
+        if r.keywords and not any(k in text.lower() for k in r.keywords):
+            continue
+        for m in re.finditer(r.regex, text, re.ASCII):
+            a, b = m.span(r.secret_group) if r.secret_group and m.span(r.secret_group)[0] >= 0 else m.span()
+            if (not r.entropy or credentials.shannon(text[a:b]) >= r.entropy) and not any(x.holds(text, m.span(), (a, b)) for x in r.allow) and not any(a < y and x < b for _, x, y in kept):
+                kept.append((r.id, a, b))
+    return kept
+
+
+def test_many_rules_cost_what_their_candidates_cost(spark, tmp_path):
+    path = tmp_path / "rules.toml"
+    path.write_text("".join(
+        f"[[rules]]\nid = \"r{i}\"\nregex = '''(?i)[\\w.-]{{0,20}}?(?:v{i}x|w{i}y)(?:[ \\t\\w.-]{{0,10}})(?:=|:){{1,2}}[ ]{{0,3}}([a-z0-9]{{8,}})|(zz{i})'''\nkeywords = [\"v{i}x\", \"w{i}y\", \"zz\"]\nentropy = 1.5\nsecretGroup = 1\n" for i in range(222)
+    ))
+    rules, skipped = credentials.load_rules(str(path))
+    assert len(rules) == 222 and not skipped
+    rng = random.Random(3)
+    words = ["plain", "words", "of", "v7x", "W201Y = abcdefgh12", "v7x key: 0a1b2c3d4e", "w30y=aaaaaaaaaa", "zz9", "zz41 zz41", "v7xw8y:12345678ab", "İ"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", "word " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    got = {r.i: [(s.rule, s.start, s.end) for s in r.s] for r in df.select("i", credentials.detect("text", tuple(rules)).alias("s")).collect()}
+    assert got == {i: one_by_one(rules, t) for i, t in enumerate(texts)} and sum(map(len, got.values())) > 300
+    scanner = credentials.Scanner(tuple(rules))
+    assert scanner.find("word " * 50_000) == [] and not scanner.compiled, "no pattern is even compiled for a text without keywords"
+    assert scanner.candidates("a W201Y b v7x") == [7, 201]
+
+
+def test_allowlists(tmp_path):
+    path = tmp_path / "rules.toml"
+    path.write_text("""
+[allowlist]
+stopwords = ["sesame"]
+paths = ["x"]
+[[rules]]
+id = "key"
+regex = 'key=([a-z0-9]+)'
+keywords = ["key"]
+secretGroup = 1
+[[rules.allowlists]]
+regexes = ['^test', 'none$']
+[[rules.allowlists]]
+regexTarget = "line"
+regexes = ['# nosec']
+[[rules.allowlists]]
+condition = "AND"
+regexTarget = "match"
+regexes = ['key=d']
+stopwords = ["demo"]
+[[rules.allowlists]]
+condition = "AND"
+regexes = ['^p']
+paths = ['docs']
+""")
+    text = "key=abc1\nkey=test1 key=xnone\nkey=abc2 # nosec\nkey=demo3 key=demux key=p4 key=opensesame5"
+    found = lambda rules: [text[s["start"] : s["end"]] for s in credentials.Scanner(tuple(rules)).find(text)]
+    assert found(credentials.load_rules(str(path), allowlists=True)[0]) == ["abc1", "demux", "p4"]
+    assert len(found(credentials.load_rules(str(path))[0])) == 8
+    path.write_text("[[rules]]\nid = 'bad'\nregex = 'x'\n[[rules.allowlists]]\nregexes = ['(']\n")
+    assert credentials.load_rules(str(path), allowlists=True) == ([], ["bad"])
+
+
 def test_credentials_are_the_brute_force(spark):
     """Every match of every rule of every document, tried one by one."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text") if os.path.isdir("/root/testdata/sf0.01") else spark.createDataFrame([(1, 'token = "9a8b99b6f89edc97"')], "doc_id long, text string")
