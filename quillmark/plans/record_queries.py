@@ -12,8 +12,9 @@ from ..operators import evaluation as V
 from ..operators import events as E
 from ..operators import loadstats, passes, queueing, sensitivity, transcripts
 from ..sources import loaders, sinks
-from ..streaming import stateful
-from ..streaming.landing import landed, table_stream
+from ..streaming import processors, stateful
+from ..streaming.delivery import Delivery
+from ..streaming.landing import drained, landed, scratch, table_stream
 from .registry import query, table
 
 
@@ -373,3 +374,44 @@ def stream_lengths(spark, sf_dir):
     rows = table_stream(spark, sf_dir, "documents").select("lang", T.words("text").alias("words"))
     got = landed(stateful.length_state(rows, "lang", "words"), "lengths")
     return got.select("lang", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("m2") / (F.col("n") - 1)), 6).alias("std"))
+
+
+@query("""
+with n as (select user_id, event_id, event_type, count(*) filter (event_type in ('error', 'signup')) over w as handed, coalesce(bool_or(event_type = 'purchase') over w, false) as done from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)),
+o as (select *, row_number() over (partition by user_id, handed order by event_id) as k from n where event_type not in ('error', 'signup', 'purchase'))
+select user_id, event_id from o where k = 1 and not done""")
+def stream_inflight(spark, sf_dir):
+    """Offers against keys in flight: a worker takes a key with signups and errors, a purchase publishes it."""
+    rows = _event_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    offers = rows.where("event_type not in ('error', 'signup', 'purchase')")
+    kinds = F.when(F.col("event_type") == "purchase", processors.COMPLETE).otherwise(processors.NEXT)
+    outcomes = _event_stream(spark, sf_dir).where("event_type in ('error', 'signup', 'purchase')").select("user_id", "event_id", kinds.alias("kind"))
+    return landed(processors.admitted(offers, outcomes, ["user_id"], "event_id"), "inflight")
+
+
+@query("""
+with l as (select *, case when event_type = lag(event_type) over w then 0 else 1 end as fresh from events window w as (partition by user_id order by event_id)),
+r as (select *, sum(fresh) over (partition by user_id order by event_id) as run from l), g as (select user_id, run, min(event_id) as event_id, min(event_type) as event_type, count(*) as count from r group by user_id, run)
+select user_id, event_id, event_type, count, case when k = least(n, 8) then greatest(n - 8, 0) else 0 end as dropped from (select *, row_number() over (partition by user_id order by run desc) as k, count(*) over (partition by user_id) as n from g) where k <= 8""")
+def stream_ring(spark, sf_dir):
+    """Rings of eight runs per user, drained by a timer: the newest runs, the last included."""
+    rows = _event_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    return drained(processors.ring(rows, ["user_id"], "event_id", ["event_type"], capacity=8, drain_ms=1_000), "ring")
+
+
+def _flaky(batch):
+    """A sink that needs one to seven attempts for a row, refuses some for good and raises for none."""
+    need = batch["event_id"] % 7 + 1
+    return [422 if i % 50 == 13 else 200 if a >= n else 503 for i, a, n in zip(batch["event_id"], batch["attempt"], need)]
+
+
+@query("""
+select event_id, case when event_id % 50 = 13 then 1 else least(event_id % 7 + 1, 4) end as attempts, case when event_id % 50 = 13 or event_id % 7 + 1 > 4 then 'quarantine' else 'done' end as state, event_id % 50 = 13 or event_id % 7 + 1 > 4 as dead from events""")
+def stream_delivery(spark, sf_dir):
+    """Events to a flaky sink: attempts by round, the fourth failure and what is refused to the dead letters."""
+    folder = scratch(spark, "delivery")
+    to = Delivery(f"{folder}/to", ("event_id",), "event_id", _flaky)
+    to.stream(_event_stream(spark, sf_dir).select("event_id", "user_id", "event_type"), f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    to.sweep(spark)
+    dead = to.dead_letters(spark).select("event_id", F.lit(True).alias("_d"))
+    return to.settled(spark).join(dead, "event_id", "left").select("event_id", "attempts", "state", F.coalesce("_d", F.lit(False)).alias("dead"))

@@ -32,8 +32,10 @@ def publish(profiles: DataFrame, path: str, **how) -> None:
     published(profiles, **how).write.mode("append").text(path)
 
 
-def quarantine(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def quarantine(rows: DataFrame, path: str, again: bool = False) -> None:
+    """Sets rows aside; again: in place of what an earlier try has left at the path."""
+    assert_no_raw_text(rows)
+    rows.write.mode("overwrite" if again else "append").parquet(path)
 
 
 def attributes(names: dict[str, str]):

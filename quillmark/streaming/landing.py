@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +21,43 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/quillmark/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def landed(stream: DataFrame, name: str) -> DataFrame:
     """All that the stream's source holds now, through its state, into Parquet; offsets and state are checkpointed beside it."""
-    spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/quillmark/stream-{name}-{uuid.uuid4().hex}"
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, f"stream-{name}")
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def drained(stream: DataFrame, name: str, wait_s: float = 600.0) -> DataFrame:
+    """As `landed` for a stream whose state leaves by timers: ends when the source is read and no state is left."""
+    spark, path = stream.sparkSession, scratch(stream.sparkSession, f"stream-{name}")
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").start()
+    try:
+        end = time.monotonic() + wait_s
+        while not empty(q):
+            if q.exception() or time.monotonic() > end:
+                raise RuntimeError(f"{name}: state is left: {q.exception()}")
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def empty(query) -> bool:
+    """Whether a running query's last batch had no rows to read (its timers go on without) and has left no state."""
+    last = query.lastProgress
+    return bool(last) and not last["numInputRows"] and sum(s["numRowsTotal"] for s in last["stateOperators"]) == 0
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's file as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
