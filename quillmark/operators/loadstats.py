@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from . import ordered
 
 
 def length_stats(docs: DataFrame, by: list[str], text: str = "text", floor: int = 512, ceiling: int = 768, warm: int = 200) -> DataFrame:
@@ -25,19 +23,14 @@ def slope(rows: DataFrame, by: list[str], x: str, y: str, scale: float = 60.0) -
     return rows.groupBy(*by).agg((F.coalesce(F.regr_slope(y, x), F.lit(0.0)) * scale).alias("slope"))
 
 
-def trimmed(rows: DataFrame, by: list[str], order: list[str], share: float) -> DataFrame:
+def trimmed(rows: DataFrame, by: list[str], order: list[str], share: float, chunk: int | None = None) -> DataFrame:
     """Without the leading int(n * share) samples."""
-    w = Window.partitionBy(*by)
-    out = rows.withColumn("_at", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    return out.where(F.col("_at") > F.floor(F.col("_n") * share)).drop("_at", "_n")
+    return ordered.ranked(rows, by, order, chunk, total=True).where(F.col("_at") > F.floor(F.col("_n") * share)).drop("_at", "_n")
 
 
-def half_growth(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def half_growth(rows: DataFrame, by: list[str], order: list[str], value: str, chunk: int | None = None) -> DataFrame:
     """Mean of the second half less mean of the first, split at n // 2; 0 for fewer than two."""
-    w = Window.partitionBy(*by)
-    out = rows.withColumn("_at", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    early = F.col("_at") <= F.floor(F.col("_n") / 2)
-    return out.groupBy(*by).agg(F.coalesce(F.avg(F.when(~early, F.col(value))) - F.avg(F.when(early, F.col(value))), F.lit(0.0)).alias("growth"))
+    return ordered.halves(rows, by, order, value, chunk).select(*by, F.coalesce(F.col("late") - F.col("early"), F.lit(0.0)).alias("growth"))
 
 
 def non_increasing(rows: DataFrame, by: list[str], order: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
@@ -45,29 +38,9 @@ def non_increasing(rows: DataFrame, by: list[str], order: list[str], value: str,
     return rows.withColumn("_ok", F.coalesce(F.col(value) <= before * (1 + tolerance), F.lit(True))).groupBy(*by).agg(F.bool_and("_ok").alias("non_increasing"))
 
 
-def ewma(rows: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """The last exponentially weighted mean of each group; the first sample seeds it.
-
-    Groups are sorted and folded with a state of one number, batch by batch, so a long series is never held."""
-    sorted_ = rows.select(*by, *order, F.col(value).cast("double").alias("_v")).where("_v is not null").repartition(*by).sortWithinPartitions(*by, *order).select(*by, "_v")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, mean = None, 0.0
-        for batch in batches:
-            out = []
-            for *g, v in batch.itertuples(index=False):
-                if g != group:
-                    if group is not None:
-                        out.append((*group, mean))
-                    group, mean = g, v
-                else:
-                    mean = alpha * v + (1 - alpha) * mean
-            yield pd.DataFrame(out, columns=[*by, "ewma"])
-        if group is not None:
-            yield pd.DataFrame([(*group, mean)], columns=[*by, "ewma"])
-
-    kinds = dict(rows.dtypes)
-    return sorted_.mapInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ewma double")
+def ewma(rows: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.3, chunk: int | None = None) -> DataFrame:
+    """The last exponentially weighted mean of each group; the first sample seeds it."""
+    return ordered.decayed(rows, by, order, value, alpha, chunk).withColumnRenamed("mean", "ewma")
 
 
 def peaks(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

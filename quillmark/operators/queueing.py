@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 KEY = ["source", "scheme", "id"]
 
 
@@ -31,25 +36,23 @@ def admit(offers: DataFrame, busy: DataFrame, key: list[str]) -> DataFrame:
     return offers.join(busy.select(*key).distinct(), key, "left_anti")
 
 
-def last_completed(done: DataFrame, within: list[str], order: list[str], n: int = 4096) -> DataFrame:
-    w = Window.partitionBy(*within).orderBy(*(F.desc(c) for c in order))
-    return done.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= n).drop("_at")
+def last_completed(done: DataFrame, within: list[str], order: list[str], n: int = 4096, chunk: int | None = None) -> DataFrame:
+    return ordered.ranked(done, within, order, chunk, newest=True).where(F.col("_at") <= n).drop("_at")
 
 
-def evict(rows: DataFrame, within: list[str], position: str, n_bytes: str, limit: int) -> DataFrame:
+def evict(rows: DataFrame, within: list[str], position: str, n_bytes: str, limit: int, chunk: int | None = None) -> DataFrame:
     """The newest rows of each queue that fit the budget together; oldest go first, a row beyond the budget alone is refused."""
-    newer = Window.partitionBy(*within).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.where(F.col(n_bytes) <= limit).withColumn("_sum", F.sum(n_bytes).over(newer)).where(F.col("_sum") <= limit).drop("_sum")
+    return ordered.newer_sums(rows.where(F.col(n_bytes) <= limit), within, [position], n_bytes, chunk).where(F.col("_sum") <= limit).drop("_sum")
 
 
-def evict_batches(rows: DataFrame, within: list[str], position: str, n_bytes: str, limit: int, batch: int = 16) -> DataFrame:
+def evict_batches(rows: DataFrame, within: list[str], position: str, n_bytes: str, limit: int, batch: int = 16, chunk: int | None = None) -> DataFrame:
     """Eviction in whole batches of the oldest until what is left fits."""
-    oldest = Window.partitionBy(*within).orderBy(position)
-    ok = rows.where(F.col(n_bytes) <= limit).withColumn("_batch", F.floor((F.row_number().over(oldest) - 1) / batch))
+    ok = ordered.ranked(rows.where(F.col(n_bytes) <= limit), within, [position], chunk).withColumn("_batch", F.floor((F.col("_at") - 1) / batch)).drop("_at")
     per = ok.groupBy(*within, "_batch").agg(F.sum(n_bytes).alias("_b"))
-    upto = Window.partitionBy(*within).orderBy(F.desc("_batch"))
-    left = per.withColumn("_sum", F.sum("_b").over(upto)).where(F.col("_sum") <= limit).select(*within, "_batch")
-    return ok.join(left, [*within, "_batch"], "left_semi").drop("_batch")
+    left = ordered.newer_sums(per, within, ["_batch"], "_b", chunk).where(F.col("_sum") <= limit).select(*within, "_batch")
+    left = left.toDF(*(f"_k{i}" for i in range(len(within) + 1)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*within, "_batch"])))
+    return ok.join(left, same, "left_semi").drop("_batch")
 
 
 def stats(rows: DataFrame, within: list[str], ts_s: str, n_bytes: str, now_s: float) -> DataFrame:

@@ -14,7 +14,8 @@ from ..operators import loadstats, passes, queueing, sensitivity, transcripts
 from ..sources import loaders, sinks
 from ..streaming import processors, stateful
 from ..streaming.delivery import Delivery
-from ..streaming.landing import drained, landed, scratch, table_stream
+from ..scratch import scratch
+from ..streaming.landing import drained, landed, table_stream
 from .registry import query, table
 
 

@@ -128,16 +128,16 @@ def runs(df: DataFrame, within: str, order: str, code: str) -> DataFrame:
 
 
 def length_state(df: DataFrame, key: str, words: str) -> DataFrame:
-    """Welford's count, mean and M2 of word counts per key, after each batch."""
+    """Count, mean and M2 of word counts per key, after each batch."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for w in pd.concat(list(batches))[words]:
-            if w > 0:
-                n += 1
-                d = w - mean
-                mean += d / n
-                m2 += d * (w - mean)
+        for batch in batches:  # each joined to what is known, none held
+            w = batch[words][batch[words] > 0].astype("float64")
+            if len(w):
+                d, total = w.mean() - mean, n + len(w)
+                mean, m2 = mean + d * len(w) / total, m2 + ((w - w.mean()) ** 2).sum() + d * d * n * len(w) / total
+                n = total
         state.update((int(n), float(mean), float(m2)))
         yield pd.DataFrame({key: [group[0]], "n": [n], "mean": [mean], "m2": [m2]})
 
