@@ -202,6 +202,14 @@ def screen(passes: list[CustomPass]) -> tuple[list[CustomPass], dict[str, str]]:
     return kept, why
 
 
+def screened(specs: DataFrame) -> DataFrame:
+    """As `screen` over a table of passes (key, kind, n_labels, n_subsets, is_system): fate and why of each that is told of."""
+    key, kind = F.coalesce("key", F.lit("")), F.coalesce("kind", F.lit(""))
+    why = F.when(key == "", "no key").when(~kind.isin(*sorted(KINDS)), F.concat(F.lit("unknown kind "), kind)).when((F.coalesce("n_labels", F.lit(0)) == 0) & (F.coalesce("n_subsets", F.lit(0)) == 0), "no labels").otherwise("")
+    told = specs.where(~F.coalesce("is_system", F.lit(False)) & ~key.isin(*sorted(BUILT_IN))).withColumn("why", why)
+    return told.withColumn("fate", F.when(F.col("why") == "", "kept").otherwise("rejected"))
+
+
 def rejects_digest(why: dict[str, str]) -> str:
     """The same for the same rejects in any order."""
     return ",".join(sorted(f"{k}:{v}" for k, v in why.items()))

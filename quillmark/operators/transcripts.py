@@ -37,13 +37,18 @@ def _flag(json: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(json, path) == "true", F.lit(False))
 
 
-def dialect_a(lines: DataFrame) -> DataFrame:
-    """lines: path, off, line. User prompts: session, prompt id, cwd, text."""
+def dialect_a(lines: DataFrame, context: bool = False) -> DataFrame:
+    """lines: path, off, line. User prompts: session, prompt id, cwd, text. context: every user line with text, as what came before a
+    prompt is told, under its own id where it has no prompt's."""
     j = F.col("line")
     plain, blocks = _content(j, "$.message.content")
     got = lambda p: F.coalesce(F.get_json_object(j, p), F.lit(""))
-    keep = (got("$.type") == "user") & (got("$.promptId") != "") & ~_flag(j, "$.isSidechain") & ~_flag(j, "$.isMeta") & F.get_json_object(j, "$.toolUseResult").isNull() & human_text(plain, blocks)
-    return lines.where(keep).select("path", "off", got("$.sessionId").alias("session_id"), got("$.promptId").alias("prompt_id"), got("$.cwd").alias("cwd"), joined_text(plain, blocks).alias("text"))
+    prompt = got("$.promptId")
+    if context:
+        keep, prompt = (got("$.type") == "user") & human_text(plain, blocks), F.coalesce(F.nullif(prompt, F.lit("")), got("$.uuid"))
+    else:
+        keep = (got("$.type") == "user") & (prompt != "") & ~_flag(j, "$.isSidechain") & ~_flag(j, "$.isMeta") & F.get_json_object(j, "$.toolUseResult").isNull() & human_text(plain, blocks)
+    return lines.where(keep).select("path", "off", got("$.sessionId").alias("session_id"), prompt.alias("prompt_id"), got("$.cwd").alias("cwd"), joined_text(plain, blocks).alias("text"))
 
 
 def dialect_b(lines: DataFrame) -> DataFrame:
@@ -98,10 +103,20 @@ def hook_jobs(rows: DataFrame) -> DataFrame:
 
 
 def resolve(jobs: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Jobs with their text: inline text wins, else the prompt at (path, prompt_id); what stays without goes."""
-    found = prompts.select("path", "prompt_id", F.col("text").alias("_found"))
-    out = jobs.join(found, ["path", "prompt_id"], "left").withColumn("text", F.coalesce(F.nullif(F.col("inline_text"), F.lit("")), "_found"))
-    return out.where(F.col("text").isNotNull()).drop("_found", "inline_text")
+    """Jobs with their text: inline text wins, else the prompt at (path, prompt_id); what stays without goes.
+
+    Prompts with records and ordinals (the third dialect) answer to both kinds of id: one with the long mark means the ordinal after it,
+    whatever session stands before it; one without means a record, of several the first."""
+    if "record_id" in prompts.columns:
+        ordinal = F.concat(F.lit(LONG_MARK), F.col("ordinal").cast("string"))
+        records = prompts.where(~F.contains("record_id", F.lit(LONG_MARK))).groupBy("path", F.col("record_id").alias("_at")).agg(F.min_by("text", "off").alias("_found"))
+        found = prompts.select("path", ordinal.alias("_at"), F.col("text").alias("_found")).unionByName(records)
+        _, number = split_id("prompt_id", LONG_MARK)
+        at = F.when(F.contains("prompt_id", F.lit(LONG_MARK)), F.concat(F.lit(LONG_MARK), number.cast("string"))).otherwise(F.col("prompt_id"))
+    else:
+        found, at = prompts.select("path", F.col("prompt_id").alias("_at"), F.col("text").alias("_found")), F.col("prompt_id")
+    out = jobs.withColumn("_at", at).join(found, ["path", "_at"], "left").withColumn("text", F.coalesce(F.nullif(F.col("inline_text"), F.lit("")), "_found"))
+    return out.where(F.col("text").isNotNull()).select(*(c for c in jobs.columns if c != "inline_text"), "text")
 
 
 def with_ordinals(prompts: DataFrame, session: str, order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from ..functions import text as T
 from ..operators import evaluation as V
 from ..operators import events as E
 from ..operators import loadstats, passes, queueing, sensitivity, transcripts
+from ..scratch import scratch
 from ..sources import loaders, sinks
 from ..streaming import processors, stateful
 from ..streaming.delivery import Delivery
-from ..scratch import scratch
 from ..streaming.landing import drained, landed, table_stream
+from ..streaming.settings import Holder, Settings, enriched
 from .registry import query, table
 
 
@@ -72,13 +74,31 @@ o as (select *, row_number() over (partition by conv_id order by turn) - 1 as or
 select 'conv-' || conv_id as path, turn as off, 'conv-' || conv_id || '########' || ordinal as prompt_id, 'r' || turn as record_id, ordinal::int as ordinal, text from o""")
 def transcript_dialect_c(spark, sf_dir):
     """Turns are numbered by those that count; updates, blank texts and records without an id don't."""
+    return transcripts.dialect_c(_lines_c(spark, sf_dir)).select("path", "off", "prompt_id", "record_id", "ordinal", "text")
+
+
+def _lines_c(spark, sf_dir):
     rows = _turns(spark, sf_dir)
     text = F.when((F.col("conv_id") % 9 == 0) & (F.col("turn") == 0), "  ").otherwise(F.col("text"))
     record = F.struct(F.when(F.col("role") == "user", "user").otherwise("gemini").alias("type"), F.when(F.col("turn") % 8 == 4, "").otherwise(F.concat(F.lit("r"), F.col("turn").cast("string"))).alias("id"), text.alias("content"))
     meta = rows.select("path", F.lit(-1).cast("long").alias("off"), F.to_json(F.struct(F.col("path").alias("sessionId"))).alias("line")).distinct()
     update = rows.select("path", F.lit(100).cast("long").alias("off"), F.to_json(F.create_map(F.lit("$set"), F.col("text"))).alias("line"))
-    lines = rows.select("path", F.col("turn").alias("off"), F.to_json(record).alias("line")).unionByName(meta).unionByName(update)
-    return transcripts.dialect_c(lines).select("path", "off", "prompt_id", "record_id", "ordinal", "text")
+    return rows.select("path", F.col("turn").alias("off"), F.to_json(record).alias("line")).unionByName(meta).unionByName(update)
+
+
+@query("""
+with k as (select conv_id, turn, case when conv_id % 9 = 0 and turn = 0 then '  ' else text end as text from conversations where role = 'user' and turn % 8 <> 4),
+o as (select *, row_number() over (partition by conv_id order by turn) - 1 as ordinal from k where trim(text, ' \t\n\r') <> ''),
+j as (select event_id, event_id % 90 as conv_id, (event_id // 90) % 6 as n, event_id % 4 as way from events)
+select event_id, case way when 0 then 'conv-' || j.conv_id || '########' || n when 1 then 'r' || n when 2 then 'moved########' || n else 'conv-' || j.conv_id || '########x' end as prompt_id, o.text as text
+from j join o on o.conv_id = j.conv_id and case way when 1 then o.turn = n when 3 then false else o.ordinal = n end""")
+def resolved_records(spark, sf_dir):
+    """Ids with the long mark find a prompt by its number, ids without by their record; a number that is none finds nothing."""
+    e, n = F.col("event_id"), (F.floor(F.col("event_id") / 90) % 6).cast("string")
+    path = F.concat(F.lit("conv-"), (e % 90).cast("string"))
+    made = F.when(e % 4 == 0, F.concat(path, F.lit("########"), n)).when(e % 4 == 1, F.concat(F.lit("r"), n)).when(e % 4 == 2, F.concat(F.lit("moved########"), n)).otherwise(F.concat(path, F.lit("########x")))
+    jobs = table(spark, sf_dir, "events").select("event_id", path.alias("path"), made.alias("prompt_id"), F.lit("").alias("inline_text"))
+    return transcripts.resolve(jobs, transcripts.dialect_c(_lines_c(spark, sf_dir))).select("event_id", "prompt_id", "text")
 
 
 @query(f"""
@@ -273,21 +293,36 @@ def custom_passes(spark, sf_dir):
     return got.select("doc_id", "tongue", "tag", "mails", depends.alias("depends"))
 
 
-@query("select * from (values ('a', 'kept', ''), ('odd', 'rejected', 'unknown kind tree'), ('none', 'rejected', 'no labels')) t(key, fate, why)")
+_SPECS = """(select event_id, case when event_id % 7 = 0 then 'domain' when event_id % 11 = 0 then '' else event_type end as key, (['entity', 'tree', 'single_label', 'multi_label', 'relation'])[event_id % 5 + 1] as kind,
+  event_id % 4 as n_labels, event_id % 3 as n_subsets, event_id % 13 = 0 as is_system from events)"""
+
+
+@query(f"""
+select event_id, case when why = '' then 'kept' else 'rejected' end as fate, why from (select event_id, case when key = '' then 'no key' when kind not in ('entity', 'single_label', 'multi_label') then 'unknown kind ' || kind when n_labels + n_subsets = 0 then 'no labels' else '' end as why
+  from {_SPECS} where not is_system and key not in ('task_type', 'domain', 'sensitivity', 'speech_act', 'activity_type', 'personal', 'function_guess', 'subcategory'))""")
 def screened_passes(spark, sf_dir):
-    """Which passes run; system and built-in keys go silently."""
-    P = passes.CustomPass
-    one = (("x", ""),)
-    kept, why = passes.screen([P("a", "entity", one), P("odd", "tree", one), P("none", "single_label", ()), P("domain", "entity", one), P("s", "entity", one, is_system=True)])
-    rows = [(p.key, "kept", "") for p in kept] + [(k, "rejected", r) for k, r in why.items()]
-    assert passes.rejects_digest(why) == passes.rejects_digest(dict(reversed(why.items())))
-    return spark.createDataFrame(rows, "key string, fate string, why string")
+    """Which passes run, of events read as passes; system and built-in keys go silently."""
+    e = F.col("event_id")
+    kinds = F.array(*map(F.lit, ("entity", "tree", "single_label", "multi_label", "relation")))
+    key = F.when(e % 7 == 0, "domain").when(e % 11 == 0, "").otherwise(F.col("event_type"))
+    specs = table(spark, sf_dir, "events").select("event_id", key.alias("key"), F.element_at(kinds, (e % 5 + 1).cast("int")).alias("kind"), (e % 4).alias("n_labels"), (e % 3).alias("n_subsets"), (e % 13 == 0).alias("is_system"))
+    return passes.screened(specs).select("event_id", "fate", "why")
 
 
-@query("""select doc_id, len(regexp_extract_all(coalesce(text, ''), '""" + vocab.ENTITY_PATTERNS["email"] + """')) as n_entities, true as blanked from documents where contains(coalesce(text, ''), '@')""")
+@query(f"select coalesce(string_agg(distinct why, ',' order by why), '') as digest from (select case when key = '' then 'no key' when kind not in ('entity', 'single_label', 'multi_label') then 'unknown kind ' || kind when n_labels + n_subsets = 0 then 'no labels' end as why from {_SPECS} where not is_system and key <> 'domain')")
+def reject_reasons(spark, sf_dir):
+    """The set of reasons for which passes were rejected, as one text whatever their order."""
+    e = F.col("event_id")
+    kinds = F.array(*map(F.lit, ("entity", "tree", "single_label", "multi_label", "relation")))
+    key = F.when(e % 7 == 0, "domain").when(e % 11 == 0, "").otherwise(F.col("event_type"))
+    specs = table(spark, sf_dir, "events").select(key.alias("key"), F.element_at(kinds, (e % 5 + 1).cast("int")).alias("kind"), (e % 4).alias("n_labels"), (e % 3).alias("n_subsets"), (e % 13 == 0).alias("is_system"))
+    return queueing.set_digest(passes.screened(specs).where("fate = 'rejected'"), "why")
+
+
+@query("""select doc_id, len(regexp_extract_all(coalesce(text, ''), '""" + vocab.ENTITY_PATTERNS["email"] + """')) as n_entities, true as blanked from documents""")
 def published_entities(spark, sf_dir):
     """Documents as published: entities without their text, one JSON document each."""
-    rows = table(spark, sf_dir, "documents").where(F.contains(F.coalesce("text", F.lit("")), F.lit("@")))
+    rows = table(spark, sf_dir, "documents")
     entities = passes.KeywordBackend().entities(F.col("text"), ["email"])
     sent = sinks.published(rows.select("doc_id", entities.alias("entities")))
     back = F.from_json("value", "doc_id long, entities array<struct<label:string,text:string>>")
@@ -298,11 +333,12 @@ def published_entities(spark, sf_dir):
 _CASES = [("<token>", True, False), ("${API_KEY}", True, False), ("****", True, False), ("YOUR_KEY", True, False), ("changeme", True, False), ("hunter2", False, False), ("lgtm", False, True), ("yes, go ahead", False, True), ("fix the bug", False, False), ("", False, False), ("4111 1111 1111 1111", False, False)]
 
 
-@query("select * from (values " + ", ".join(f"('{v}', {p}, {g}, {'true' if v.startswith('4111') else 'false'}, '{'***' if len(v) <= 6 else '…' + v[-4:]}')" for v, p, g in _CASES) + ") t(value, placeholder, gated, card, masked)")
+@query(f"select p_partkey, value, placeholder, gated, card, masked from part join (values " + ", ".join(f"({i}, '{v}', {p}, {g}, {'true' if v.startswith('4111') else 'false'}, '{'***' if len(v) <= 6 else '…' + v[-4:]}')" for i, (v, p, g) in enumerate(_CASES)) + f") t(k, value, placeholder, gated, card, masked) on k = p_partkey % {len(_CASES)}")
 def stated_cases(spark, sf_dir):
-    """Placeholders, approvals, card numbers and masks, case by case."""
-    rows = spark.createDataFrame([(v,) for v, *_ in _CASES], "value string")
-    return rows.select("value", T.is_placeholder("value").alias("placeholder"), T.content_free("value").alias("gated"), T.luhn("value").alias("card"), T.mask(F.lit("secret"), "value").alias("masked"))
+    """Placeholders, approvals, card numbers and masks, case by case, a case for each part."""
+    value = F.element_at(F.array(*(F.lit(v) for v, *_ in _CASES)), (F.col("p_partkey") % len(_CASES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", value.alias("value"))
+    return rows.select("p_partkey", "value", T.is_placeholder("value").alias("placeholder"), T.content_free("value").alias("gated"), T.luhn("value").alias("card"), T.mask(F.lit("secret"), "value").alias("masked"))
 
 
 @query("select event_id, case when event_type = 'error' then 'phi' when event_type in ('view', 'click') then 'secrets' when event_type = 'purchase' then 'pii' end as class, 800 + event_id % 50 as ceiling_mb, greatest(800 + event_id % 50, 2000 - event_id % 300) as hard_mb from events")
@@ -313,6 +349,17 @@ def severity_and_limits(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.severity_class(labels).alias("class"), limits["ceiling_mb"].cast("long").alias("ceiling_mb"), limits["hard_mb"].cast("long").alias("hard_mb"))
 
 
+@query("""
+select event_id, '{"at":{"file":"' || case when event_id % 3 = 0 then 'b.py' else '<redacted>' end || '","kind":"' || event_type || '","more":{"k":' || (props->>'k') || ',"note":"<redacted>","ok":' || case when event_id % 2 = 0 then 'true' else 'false' end || '}},"id":' || event_id || ',"share":0.5,"text":"5"}' as fields from events""")
+def redacted_props(spark, sf_dir):
+    """Nested fields by their real types, at every depth: numbers and booleans pass, strings are vetted, nulls and lists go."""
+    e = F.col("event_id")
+    more = F.concat(F.lit('"more":{"ok":'), (e % 2 == 0).cast("string"), F.lit(',"note":"a sentence of words","none":null,"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    at = F.concat(F.lit('"at":{"kind":"'), F.col("event_type"), F.lit('","file":"'), F.when(e % 3 == 0, "/home/u/b.py").otherwise("saw /home/u/b.py"), F.lit('",'), more, F.lit(',"list":[1,{"a":"b"}]}'))
+    fields = F.concat(F.lit('{"id":'), e.cast("string"), F.lit(',"share":0.5,"text":"5","gone":null,'), at, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", T.redact_json(fields).alias("fields"))
+
+
 # -- the same over streams -------------------------------------------------------------------------
 
 
@@ -416,3 +463,37 @@ def stream_delivery(spark, sf_dir):
     to.sweep(spark)
     dead = to.dead_letters(spark).select("event_id", F.lit(True).alias("_d"))
     return to.settled(spark).join(dead, "event_id", "left").select("event_id", "attempts", "state", F.coalesce("_d", F.lit(False)).alias("dead"))
+
+
+@query("""
+select doc_id, case when doc_id % 3 = 0 then 'first' else 'second' end as document, list_filter(case when doc_id % 3 = 0 then ['and', 'von'] else ['entre', 'para', 'the'] end, lambda w: contains(lower(coalesce(text, '')), w)) as labels from documents""")
+def stream_settings(spark, sf_dir):
+    """Passes that change between batches: the second batch works with another document, the third with a broken one that is not taken."""
+    folder, source = scratch(spark, "settings"), scratch(spark, "settings-in")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("web").alias("source"), "text").withColumn("meta", _no_meta())
+    words = lambda *w: json.dumps({"enrichment_schema": {"passes": {"words": {"key": "words", "kind": "multi_label", "labels": [{"id": x, "text": x} for x in w]}, "domain": {"key": "domain", "kind": "entity"}}}})
+    named = {Settings.parse(words("and", "von")).version: "first", Settings.parse(words("entre", "para", "the")).version: "second"}
+    holder = Holder(f"{folder}/now.json", f"{folder}/good.json")
+    for i, said in enumerate((words("and", "von"), words("entre", "para", "the"), "{broken")):
+        spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/written")
+        _moved(spark, f"{folder}/written", f"{folder}/now.json")
+        docs.where(F.col("doc_id") % 3 == i).write.mode("append").parquet(source)
+        write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        stream = spark.readStream.schema(docs.schema).parquet(source)
+        enriched(stream, holder, write, keep=["doc_id"], gating=False).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    return got.select("doc_id", F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("settings_version")].alias("document"), F.transform(F.col("custom")["words"]["labels"], lambda r: r["label"]).alias("labels"))
+
+
+def _no_meta():
+    return F.struct(*(F.lit("").alias(k) for k in ("repo", "branch", "project", "tool")), F.array().cast("array<string>").alias("recent_prompts"))
+
+
+def _moved(spark, folder, path):
+    """The one text file of a folder as a document at a path."""
+    jvm = spark._jvm
+    root, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-"))
+    fs.delete(to, False)
+    fs.rename(part, to)
