@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
 from quillmark.operators import events
 from quillmark.sources import loaders
-from quillmark.sources.tail import LineReader, TailReader, TranscriptTail
+from quillmark.sources.tail import LineReader, TailReader, TranscriptTail, lines, ranges
 from quillmark.streaming import stateful
 
 
@@ -25,7 +26,28 @@ def test_roots_and_lines(spark, tmp_path):
         back = spark.read.format("transcript_tail").option("split", str(split)).load(str(tmp_path / "t")).where("path like '%c.jsonl'")
         assert [r.line for r in back.orderBy("off").collect()] == many if split > 1 else True
         assert LineReader({"path": str(tmp_path / "t"), "split": str(split)}).partitions()
-    assert sum(len(list(r.read(p))) for r in [LineReader({"path": str(tmp_path / "t"), "split": "13"})] for p in r.partitions()) == 402
+    assert sum(b.num_rows for r in [LineReader({"path": str(tmp_path / "t"), "split": "13"})] for p in r.partitions() for b in r.read(p)) == 402
+    uri = "file://" + str(tmp_path / "t")
+    there = spark.read.format("transcript_tail").load(uri).select("path", "line").collect()
+    assert len(there) == 402 and all(r.path.startswith("file:///") for r in there)
+
+
+def test_lines_are_cut_as_one_by_one(tmp_path):
+    """Ranges and blocks of any size: invalid bytes, blank and long lines, no newline at the end."""
+    rng = random.Random(4)
+    parts = [b"plain", "é漢🙂".encode(), b"\xff\xc3", b"", b"  \t", b"x" * 300, "\u2028 \u00a0".encode(), b"\r", b"a\rb"]
+    for tail in (b"", b"\n", b"last"):
+        raw = b"\n".join(rng.choice(parts) for _ in range(200)) + tail
+        path = tmp_path / "l.jsonl"
+        path.write_bytes(raw)
+        want, at = [], 0
+        for line in raw.split(b"\n"):
+            if line.strip():
+                want.append((at, line.decode("utf-8", "replace")))
+            at += len(line) + 1
+        for split, block in ((1, 3), (7, 5), (64, 1000), (999, 64), (10**6, 10**6)):
+            got = [(o, t) for r in ranges(str(path), 0, len(raw), split) for b in lines(r, "s", block) for o, t in zip(b["off"].to_pylist(), b["line"].to_pylist())]
+            assert got == want, (tail, split, block)
 
 
 def test_corpus_and_spool(spark, tmp_path):
@@ -59,11 +81,15 @@ def test_tail_reader(tmp_path):
     assert start == {str(f): 8}
     f.write_bytes(b"one\ntwo\npartial\nthree\nfou")
     end = reader.latestOffset()
-    read = lambda a, b: [r[3] for p in reader.partitions(a, b) for r in reader.read(p)]
+    read = lambda a, b: [x for p in reader.partitions(a, b) for r in reader.read(p) for x in r["line"].to_pylist()]
     assert read(start, end) == ["partial", "three"]
     f.write_bytes(b"new\n")  # a shorter file starts anew
     assert read(end, reader.latestOffset()) == ["new"]
     assert read({}, {str(f): 4}) == ["new"]
+    f.write_bytes(b"".join(b"%05d\n" % i for i in range(1000)))
+    some = TailReader({"path": str(tmp_path), "split": "500"})
+    parts = some.partitions({str(f): 60}, some.latestOffset())
+    assert len(parts) == 12 and [x for p in parts for r in some.read(p) for x in r["line"].to_pylist()] == ["%05d" % i for i in range(10, 1000)]
 
 
 def run(query, name, tmp_path):
