@@ -44,6 +44,7 @@ WORD = re.compile(r"[^\W_]+")
 _LETTERS = {ord(k): v for k, v in HOMOGLYPHS.items()} | dict.fromkeys(map(ord, INVISIBLE))
 _ACCENTS = re.compile(r"[\u0300-\u036f]+")
 _SIGNS = re.compile(r"[@$!|+€]+(?=[a-z0-9])")
+_GLUED = re.compile(r"[a-z0-9]+(?:[@$!|+€]+[a-z0-9]+)+")
 _DIGITS = re.compile(r"[013-57-9]+")
 _JOINT = re.compile(r"[-.*_](?=[a-z])")
 _BROKEN = re.compile(r"[a-z]+(?:[-.*_][a-z]+)+")
@@ -68,18 +69,21 @@ def _unnumbered(m: re.Match) -> str:
 
 
 def fold(text: str) -> tuple[str, str]:
-    """The folded text by single spaces, and further readings: broken and spelled-out words joined, and 1 read as l."""
+    """The folded text by single spaces, and further readings: broken and spelled-out words joined, 1 read as l, and words that a sign
+    parts, where the text has the sign for a letter."""
     text = text.lower()
     if not text.isascii():
         text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
         if not text.isascii():
             text = text.translate(_LETTERS)
+    more = []
     if any(x in text for x in SIGNS):
+        for glued in _GLUED.findall(text):
+            more += [w.translate(_STANDS_FOR) for w in _TOKEN.findall(glued) if not w.isdigit()]
         text = _SIGNS.sub(_unsigned, text)
-    more = []
     if any(x in text for x in DIGITS):
         if "1" in text:
-            more = [w.replace("1", "l").translate(_STANDS_FOR) for w in _TOKEN.findall(text) if "1" in w and not w.isdigit()]
+            more += [w.replace("1", "l").translate(_STANDS_FOR) for w in _TOKEN.findall(text) if "1" in w and not w.isdigit()]
         text = _DIGITS.sub(_unnumbered, text)
     text = " ".join(text.split())
     if any(m.start() and text[m.start() - 1].isalpha() for m in _JOINT.finditer(text)):
