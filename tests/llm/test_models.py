@@ -48,7 +48,7 @@ def test_toxicity_folds():
     same = {"1d10T": "idiot", "іdі0t": "idiot", "sc$um$$ ＣＬＯＷＮ": "scsum$$ clown", "a$$hole": "asshole", "$hit happens!": "shit happens!", "ïdíot": "idiot", "id\u00adiot": "idiot"}
     same |= {"in 2024 for $100, room 7b!": "in 2024 for $100, room tb!", "@user +1 555": "@user +1 555", "a\n b": "a b", "": ""}
     assert {k: toxicity.fold(k)[0] for k in same} == same
-    parted = {"idiot!you": "idiot you", "idiot|moron": "idiot moron", "idiot+moron": "idiot moron", "idiot@home.com": "idiot home idiotahomecom", "you!1diot b@d 5+5 $100!": "you idiot b d", "hi! idiot! a$$hole": "a hole"}
+    parted = {"idiot!you": "idiot you", "idiot|moron": "idiot moron", "idiot+moron": "idiot moron", "idiot@home.com": "idiot home idiotahomecom", "you!idiot b@d 5+5 $100!": "you idiot b d", "hi! idiot! a$$hole": "a hole"}
     assert {k: toxicity.fold(k)[1] for k in parted} == parted
     auto = toxicity.Lexicon({"idiot": 2.0, "moron": 1.0, "shit": 1.0}).automaton()
     found = lambda t: sorted(w for _, _, w in toxicity.matches(auto, toxicity.readings(t)))
