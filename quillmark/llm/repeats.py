@@ -142,13 +142,24 @@ def _count(window: int, buckets: int):
 
 
 def _heavy(docs: DataFrame, window: int, buckets: int, most: int) -> np.ndarray:
-    """Ranges of more than `most` suffixes, ascending; no more of them than the text has words / most."""
+    """Which ranges have more than `most` suffixes: a bit for each range, of which there is one for each GROUP / BUCKETS bytes of text."""
     counts = docs.mapInArrow(_count(window, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.bucket for r in counts.where(F.col("n") > most).select("bucket").collect()], np.int64))
+    long = counts.where(F.col("n") > most).select((F.col("bucket") + 1).alias("b"))
+    blocks = long.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    bits = np.zeros(-(-buckets // 8), np.uint8)
+    for r in blocks.toLocalIterator():  # a block of 32768 ranges at a time
+        at = (r.k - 1) * 4096
+        part = np.frombuffer(r.bits, np.uint8)[: len(bits) - at]
+        bits[at : at + len(part)] = part
+    return bits
 
 
-def _send(window: int, parts: int, heavy: np.ndarray):
-    """Stretches of suffixes to their groups, with their words; known repeats as spans."""
+def _marked(bits: np.ndarray, where: np.ndarray) -> np.ndarray:
+    return (bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _send(window: int, parts: int, heavy):
+    """Stretches of suffixes to their groups, with their words; known repeats as spans. heavy: the bits of `_heavy`, broadcast."""
 
     def task(batches):
         import zstandard
@@ -160,7 +171,7 @@ def _send(window: int, parts: int, heavy: np.ndarray):
                 if got is None:
                     continue
                 words, doc, keys, at, row, prefix, g, known = got
-                lengthened = np.isin(scaled(prefix, parts * BUCKETS), heavy)
+                lengthened = _marked(heavy.value, scaled(prefix, parts * BUCKETS))
                 raw = words.raw.tobytes() if lengthened.any() else b""
                 for i in np.flatnonzero(lengthened & ~known).tolist():
                     text, d = raw[words.start[at[i]] : words.end[at[i] + window - 1]], int(doc[row[i]])
@@ -235,7 +246,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, heavy: int = HEAVY) ->
     """doc_id, row_key and spans [start, end) in words that repeat a window of a document of smaller doc_id; spans may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = fragments(text_bytes(docs), docs.sparkSession, GROUP)
-    long = _heavy(docs, window, parts * BUCKETS, heavy)
+    long = docs.sparkSession.sparkContext.broadcast(_heavy(docs, window, parts * BUCKETS, heavy))
     return docs.mapInArrow(_send(window, parts, long), RUNS).groupBy("part").applyInArrow(_judge(window), SPANS)
 
 

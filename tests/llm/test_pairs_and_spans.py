@@ -161,8 +161,8 @@ def test_repeats_split_the_suffixes_before_a_frequent_line(spark):
     parts, sent, runs = 16, {}, {}
     for most in (100, repeats.HEAVY):
         heavy = repeats._heavy(docs, 50, parts * repeats.BUCKETS, most)
-        assert (len(heavy) > 0) == (most == 100)
-        got = docs.mapInArrow(repeats._send(50, parts, heavy), repeats.RUNS).where("kind = 0").collect()
+        assert heavy.any() == (most == 100) and len(heavy) == -(-parts * repeats.BUCKETS // 8)
+        got = docs.mapInArrow(repeats._send(50, parts, spark.sparkContext.broadcast(heavy)), repeats.RUNS).where("kind = 0").collect()
         sent[most] = Counter()
         for r in got:
             sent[most][r.part] += int(np.frombuffer(r.lengths, "<u4").sum())
