@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, vocab
 from ..functions import text as T
+from . import ordered
 
 
 def rank(severity) -> Column:
@@ -106,9 +107,11 @@ def triggered_gauges(samples: DataFrame, within: str, ts: str, tie: str, value:
     return rows.mapInPandas(fold, f"{within} {dict(samples.dtypes)[within]}, at_us long, min double, max double, mean double, std double, last double, n long, window_s double")
 
 
-def metric_groups(points: DataFrame) -> DataFrame:
-    """points: name, pos, value. One row per metric with its points in order; metrics keep the order of first sight."""
-    return points.groupBy("name").agg(F.min("pos").alias("first_pos"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("points"), F.sum("value").alias("total"))
+def metric_groups(points: DataFrame, most: int = 10_000) -> DataFrame:
+    """points: name, pos, value. Rows of at most `most` points of a metric, in order and numbered (part); metrics keep the order of first sight."""
+    placed = ordered.ranked(points, ["name"], ["pos"]).withColumn("part", F.floor((F.col("_at") - 1) / most))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"])
+    return placed.groupBy("name", "part").agg(F.min("pos").alias("first_pos"), listed.alias("points"), F.sum("value").alias("total"))
 
 
 def usage_points(lines: DataFrame) -> DataFrame:
@@ -122,6 +125,7 @@ def usage_points(lines: DataFrame) -> DataFrame:
     return rows.where("p.always or p.value > 0").select(*(c for c in lines.columns if c != "line"), "pos", "p.name", "p.value")
 
 
-def envelope(events: DataFrame, batch: list[str]) -> DataFrame:
-    """One JSON document per batch, events in order of time."""
-    return events.groupBy(*batch).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("ts", "code", "severity"))).alias("events"))).alias("body"), F.count("*").alias("n_events"))
+def envelope(events: DataFrame, batch: list[str], most: int = 10_000) -> DataFrame:
+    """JSON documents of at most `most` events of a batch, in order of time and numbered (part)."""
+    placed = ordered.ranked(events, batch, ["ts", "code", "severity"]).withColumn("part", F.floor((F.col("_at") - 1) / most))
+    return placed.groupBy(*batch, "part").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("ts", "code", "severity"))).alias("events"))).alias("body"), F.count("*").alias("n_events"))

@@ -94,3 +94,26 @@ def modelled_customs(spark, sf_dir):
     got = passes.profiles(prompts(spark, sf_dir), models.ModelBackend(models.OverlapModel), customs=customs, keep=["conv_id", "turn", "source"])
     own = F.when(F.col("source") == "codex", F.col("custom")["own"]["labeled"]["value"]).otherwise(F.when(F.col("status") != "gated", ""))
     return got.select("conv_id", "turn", F.col("custom")["lone"]["labeled"]["value"].alias("lone"), F.transform(F.col("custom")["many"]["labels"], lambda r: r["label"]).alias("many"), own.alias("own"))
+
+
+class Touchy(models.OverlapModel):
+    """Fails on some texts: on whatever is asked of one that names tickets, and on the domain of one that names hiring."""
+
+    def extract(self, texts, tasks, entities):
+        if any("customer tickets" in t for t in texts) or ("domain" in tasks and any("hiring" in t for t in texts)):
+            raise RuntimeError("no answer")
+        return super().extract(texts, tasks, entities)
+
+
+_AT = f"(conv_id * 7 + turn) % {len(TOPICS)}"
+
+
+@query(f"""
+with p as (select conv_id, turn, {_AT} as k, ({_list(TOPICS)})[({_AT} + 1)::int] || ' ' || case when turn % 2 = 0 then coalesce(text, '') else '' end as text from conversations),
+g as (select *, {_GATED} or ({_list(TOPICS)})[(k + 1)::int] = 'a short follow' as gated from p)
+select conv_id, turn, case when k = {TOPICS.index('customer tickets')} then 'partial' when gated then 'gated' when k = {TOPICS.index('hiring content')} then 'partial' else 'enriched' end as status,
+  case when k = {TOPICS.index('customer tickets')} then '' when not gated then 'work' end as personal, case when k in ({TOPICS.index('customer tickets')}, {TOPICS.index('hiring content')}) then true when not gated then false end as no_domain from g""")
+def modelled_partial(spark, sf_dir):
+    """A model that fails on some texts leaves their facets empty and the rows partial; the others are whole."""
+    got = passes.profiles(prompts(spark, sf_dir), models.ModelBackend(Touchy), keep=["conv_id", "turn"])
+    return got.select("conv_id", "turn", "status", F.col("personal.value").alias("personal"), (F.col("domain.value") == "").alias("no_domain"))

@@ -14,6 +14,7 @@ from ..operators import events as E
 from ..operators import loadstats, passes, queueing, sensitivity, transcripts
 from ..scratch import scratch
 from ..sources import loaders, sinks
+from ..sources.tail import TranscriptTail
 from ..streaming import processors, stateful
 from ..streaming.delivery import Delivery
 from ..streaming.landing import drained, landed, table_stream
@@ -497,3 +498,80 @@ def _moved(spark, folder, path):
     part = next(s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-"))
     fs.delete(to, False)
     fs.rename(part, to)
+
+
+def _transcripts(spark, sf_dir):
+    """Conversations written as transcript files, *.jsonl."""
+    folder = scratch(spark, "transcripts")
+    lines = _lines_a(spark, sf_dir).repartition(4, "path").sortWithinPartitions("path", "off").select("line")
+    lines.write.text(f"{folder}/logs")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(f"{folder}/logs")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(root):
+        if s.getPath().getName().startswith("part-"):
+            fs.rename(s.getPath(), path(root, s.getPath().getName().partition(".")[0] + ".jsonl"))
+    return f"{folder}/logs"
+
+
+_BY_SESSION = f"select session_id, prompt_id, text from ({_A})"
+
+
+@query(_BY_SESSION)
+def transcript_files(spark, sf_dir):
+    """The first dialect out of files, which are read in ranges of bytes."""
+    lines = loaders.transcript_lines(spark, [("s", _transcripts(spark, sf_dir))])
+    return transcripts.dialect_a(lines).select("session_id", "prompt_id", "text")
+
+
+@query(_BY_SESSION)
+def stream_transcripts(spark, sf_dir):
+    """The same as a stream that tails the folder from its files' beginnings, in ranges of 64 KB."""
+    spark.dataSource.register(TranscriptTail)
+    lines = spark.readStream.format(TranscriptTail.name()).option("source", "s").option("backfill", "true").option("split", str(1 << 16)).load(_transcripts(spark, sf_dir))
+    path = f"{scratch(spark, 'stream-transcripts')}"
+    q = transcripts.dialect_a(lines).select("session_id", "prompt_id", "text").writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema("session_id string, prompt_id string, text string").parquet(f"{path}/rows")
+
+
+@query("""
+with e as (select event_id, case when event_type = 'error' then 'error' when event_type = 'signup' then 'critical' else 'info' end as severity from events), d(document, rank) as (values ('all', 0), ('errors', 2), ('off', 9))
+select document, count(*) filter (case severity when 'info' then 0 when 'error' then 2 else 3 end >= rank) as n from e cross join d group by document""")
+def settings_gate(spark, sf_dir):
+    """Events that telemetry lets pass, by what a settings document says."""
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "critical").otherwise("info")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("code"), severity.alias("severity"))
+    said = {"all": {"enabled": True}, "errors": {"enabled": True, "min_severity": "error"}, "off": {"enabled": False}}
+    out = None
+    for name, telemetry in said.items():
+        one = Settings.parse(json.dumps({"client_telemetry": telemetry})).gated(rows).agg(F.count("*").alias("n")).select(F.lit(name).alias("document"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""select 'm' || (event_id % 2) as model, case when event_id % 3 = 0 then 'r' || (event_id % 5) else '' end as repo, count(*) as n, sum(event_id % 50)::bigint as total from events group by 1, 2""")
+def exported_points(spark, sf_dir):
+    """Points as a sink gets them, read back: attributes without a value are left out."""
+    e = F.col("event_id")
+    points = table(spark, sf_dir, "events").select(F.lit("tokens.input").alias("name"), (e % 50).alias("value"), F.concat(F.lit("m"), (e % 2).cast("string")).alias("model"), F.when(e % 3 == 0, F.concat(F.lit("r"), (e % 5).cast("string"))).otherwise("").alias("repo"))
+    path = scratch(spark, "points")
+    if not sinks.export(points, {"model": "model", "repo": "repo"}, path):
+        raise RuntimeError("nothing was exported")
+    back = spark.read.schema("name string, value string, attributes array<struct<key:string,value:string>>").json(path)
+    of = F.map_from_entries("attributes")
+    return back.groupBy(of["model"].alias("model"), F.coalesce(F.try_element_at(of, F.lit("repo")), F.lit("")).alias("repo")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+@query("""select doc_id, coalesce(length(text), 0) as prompt_chars, len(regexp_extract_all(coalesce(text, ''), '""" + vocab.ENTITY_PATTERNS["email"] + """')) as n_entities from documents""")
+def published_documents(spark, sf_dir):
+    """Documents published to a folder and read back: counts of entities leave, their text does not."""
+    rows = table(spark, sf_dir, "documents")
+    entities = passes.KeywordBackend().entities(F.col("text"), ["email"])
+    path = scratch(spark, "published")
+    sinks.publish(rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("prompt_chars"), entities.alias("entities")), path)
+    back = spark.read.schema("doc_id long, prompt_chars long, entities array<struct<label:string,text:string>>").json(path)
+    return back.where(F.forall("entities", lambda x: x["text"].isNull())).select("doc_id", "prompt_chars", F.size("entities").cast("long").alias("n_entities"))

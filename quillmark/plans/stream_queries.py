@@ -100,8 +100,9 @@ def gauge_windows(spark, sf_dir):
 @query("select event_type as name, min(event_id) as first_pos, count(*) as n_points, round(arg_max(value, event_id), 6) as newest, round(sum(value), 4) as total from events group by event_type")
 def metric_groups(spark, sf_dir):
     points = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("pos"), "value")
-    got = E.metric_groups(points)
-    return got.select("name", "first_pos", F.size("points").cast("long").alias("n_points"), F.round(F.element_at("points", -1), 6).alias("newest"), F.round("total", 4).alias("total"))
+    parts = E.metric_groups(points, most=500).withColumn("newest", F.element_at("points", -1))
+    got = parts.groupBy("name").agg(F.min("first_pos").alias("first_pos"), F.sum(F.size("points")).alias("n_points"), F.max_by("newest", "part").alias("newest"), F.sum("total").alias("total"))
+    return got.select("name", "first_pos", "n_points", F.round("newest", 6).alias("newest"), F.round("total", 4).alias("total"))
 
 
 @query("select user_id, event_type, min(event_id) as position, arg_max(event_id, (ts, event_id)) as latest_id, round(arg_max(value, (ts, event_id)), 6) as value from events group by user_id, event_type")

@@ -42,3 +42,22 @@ def attributes(names: dict[str, str]):
     """OTLP attributes of non-empty columns: array of (key, value)."""
     each = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value"))) for k, c in names.items()]
     return F.array_compact(F.array(*each))
+
+
+def exported(points: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Points (name, value) with their attributes as JSON documents."""
+    assert_no_raw_text(points)
+    return points.select(F.to_json(F.struct("name", F.col("value").cast("string").alias("value"), attributes(names).alias("attributes"))).alias("value"))
+
+
+def export(points: DataFrame, names: dict[str, str], path: str) -> bool:
+    """Writes points as far as it can: a failure is logged and told, and stops nothing."""
+    import logging
+
+    rows = exported(points, names)
+    try:
+        rows.write.mode("append").text(path)
+        return True
+    except Exception:  # noqa: BLE001  telemetry must not end what it tells of
+        logging.getLogger(__name__).warning("points were not exported", exc_info=True)
+        return False
