@@ -152,7 +152,7 @@ def deliver(df: DataFrame, path: str, checkpoint: str, settle=None):
     def batch(rows: DataFrame, batch_id: int) -> None:
         assert_no_raw_text(rows)
         rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if settle:
-            settle(rows, batch_id)
+        if settle:  # over what was written: the batch itself is not worked out again
+            settle(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={batch_id}"), batch_id)
 
     return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -151,6 +151,8 @@ def test_stream_dedup_and_lengths(spark, stream_of, tmp_path):
 
 def test_delivery(spark, stream_of, tmp_path):
     df = spark.createDataFrame([(1, "***"), (2, "…")], "id int, masked string")
-    q = stateful.deliver(stream_of(df), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    booked = []
+    q = stateful.deliver(stream_of(df), str(tmp_path / "out"), str(tmp_path / "cp"), lambda rows, i: booked.append((i, rows.columns, rows.count()))).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    assert booked == [(0, ["id", "masked"], 2)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
