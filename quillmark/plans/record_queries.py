@@ -421,8 +421,8 @@ with w as (select lang, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\x0
 select lang, count(*) as n, round(avg(w), 6) as mean, round(stddev_samp(w), 6) as std from w where w > 0 group by lang""")
 def stream_lengths(spark, sf_dir):
     rows = table_stream(spark, sf_dir, "documents").select("lang", T.words("text").alias("words"))
-    got = landed(stateful.length_state(rows, "lang", "words"), "lengths")
-    return got.select("lang", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("m2") / (F.col("n") - 1)), 6).alias("std"))
+    got = landed(stateful.length_state(rows, "lang", "words"), "lengths").where("n > 0")
+    return got.select("lang", "n", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.try_divide("m2", F.col("n") - 1)), 6).alias("std"))
 
 
 @query("""

@@ -39,6 +39,7 @@ def empty(query) -> bool:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream."""
+    """A table as a stream, be it one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A stream's path must be a folder unless it is a pattern; this one matches the table alone.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from quillmark.operators import events
+from quillmark.plans.registry import QUERIES
+from quillmark.plans import catalog  # noqa: F401
 from quillmark.sources import loaders
 from quillmark.sources.tail import LineReader, TailReader, TranscriptTail, lines, ranges
 from quillmark.streaming import stateful
@@ -156,3 +158,15 @@ def test_delivery(spark, stream_of, tmp_path):
     q.awaitTermination(120)
     assert booked == [(0, ["id", "masked"], 2)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def in_parts(spark, path, rows, schema):
+    """A table as a folder of three files."""
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(path)
+
+
+def test_stream_lengths_of_a_table_in_parts(spark, tmp_path):
+    rows = [(1, "en", "a b c"), (2, "en", "a"), (3, "en", None), (4, "en", "a b"), (5, "de", "x y"), (6, "fr", " \n"), (7, None, "p"), (8, None, "p q r")]
+    in_parts(spark, f"{tmp_path}/documents.parquet", rows, "doc_id long, lang string, text string")
+    got = QUERIES["stream_lengths"](spark, str(tmp_path)).collect()
+    assert {r.lang: (r.n, r["mean"], r["std"]) for r in got} == {"en": (3, 2.0, 1.0), "de": (1, 2.0, None), None: (2, 2.0, 1.414214)}
