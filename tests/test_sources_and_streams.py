@@ -170,3 +170,10 @@ def test_stream_lengths_of_a_table_in_parts(spark, tmp_path):
     in_parts(spark, f"{tmp_path}/documents.parquet", rows, "doc_id long, lang string, text string")
     got = QUERIES["stream_lengths"](spark, str(tmp_path)).collect()
     assert {r.lang: (r.n, r["mean"], r["std"]) for r in got} == {"en": (3, 2.0, 1.0), "de": (1, 2.0, None), None: (2, 2.0, 1.414214)}
+
+
+def test_stream_sequence_of_a_table_in_parts(spark, tmp_path):
+    rows = [(c, t, "user" if t % 3 == 0 else "assistant", "x") for c in range(1, 6) for t in range(c + 1)]
+    in_parts(spark, f"{tmp_path}/conversations.parquet", rows, "conv_id long, turn long, role string, text string")
+    got = QUERIES["stream_sequence"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.event_sequence, r.last_prompt_id) for r in got) == [(c, t, t + 1, f"{c}#{t // 3 * 3}") for c, t, _, _ in rows]
