@@ -14,7 +14,7 @@ they are shuffled. `search` finds pairs with `least_hits` common keys; `exhausti
 Defined results: null audio, or fewer samples than a frame, has an empty fingerprint and matches nothing; an odd last byte
 is dropped; silence has all values 0; a fingerprint of any length matches its own class; rows that share an id are recordings of their
 own with that id; of offsets with equal hits the least shift is taken; a recording of any length is fingerprinted whole, one at a time;
-an empty table gives no rows. Thresholds are fitted on every seventh frame of at most `sample` recordings, those of least hash;
+an empty table gives no rows. Thresholds are fitted on every frame of every recording, by counts of values to the nearest 1 / GRID;
 every recording is indexed. Other columns than those named are ignored, whatever their names.
 """
 
@@ -33,6 +33,8 @@ RATE, FRAME, HOP = 1024, 256, 64
 #: Frames between the two integers of a key.
 APART = 4
 LOW_HZ, HIGH_HZ = 100.0, 480.0
+#: Steps per unit in which filter values are counted, and a bound of these: they are less than log(1 + 8 * sqrt(6)).
+GRID, REACH = 4096, 4
 PRINTS = "rec_id long, n_samples long, prints array<int>"
 
 
@@ -112,22 +114,21 @@ def prints(audio: bytes | None, thresholds: np.ndarray) -> np.ndarray:
     return (gray << (2 * np.arange(16, dtype=np.uint32))).sum(axis=1, dtype=np.uint64).astype(np.uint32).view(np.int32)
 
 
-def chosen(ids: DataFrame, sample: int = 500) -> DataFrame:
-    """rec_id of at most `sample` recordings, those of least hash. It looks at ids alone."""
-    return ids.where("rec_id is not null").select("rec_id").distinct().orderBy(F.xxhash64("rec_id", F.lit(5)), "rec_id").limit(sample)
-
-
-def fit(media: DataFrame, sample: int = 500, every: int = 7) -> np.ndarray:
-    """Quartiles of each filter over every so many frames of at most `sample` recordings."""
+def fit(media: DataFrame) -> np.ndarray:
+    """Quartiles of each filter over every frame of every recording, of values to the nearest 1 / GRID. A task holds counts, not values."""
 
     def task(batches):
+        counts = np.zeros((16, 2 * REACH * GRID + 1), np.int64)
         for batch in batches:
-            found = [values(chroma(np.frombuffer(a[: len(a) // 2 * 2], "<i2").astype(np.float64))) for a in batch.column("audio").to_pylist() if a]
-            rows = np.concatenate([v[::every] for v in found]) if found else np.zeros((0, 16))
-            yield pa.RecordBatch.from_pydict({"v": pa.array(rows.tolist(), pa.list_(pa.float64()))})
-
-    rows = media.join(F.broadcast(chosen(media, sample)), "rec_id", "left_semi").select("audio").mapInArrow(task, "v array<double>")  # no more than `sample` ids
-    cuts = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q")).collect()  # 16 rows
+            for a in batch.column("audio"):
+                raw = a.as_py() or b""
+                at = np.rint(GRID * values(chroma(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.float64)))).astype(np.int64)
+                np.add.at(counts, (np.arange(16), at + REACH * GRID), 1)
+        i, at = counts.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array((at - REACH * GRID) / GRID), pa.array(counts[i, at])], ["i", "x", "n"])
+
+    counted = media.select("audio").mapInArrow(task, "i long, x double, n long").groupBy("i", "x").agg(F.sum("n").alias("n"))
+    cuts = counted.groupBy("i").agg(F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q")).collect()  # 16 rows
     out = np.tile([-0.1, 0.0, 0.1], (16, 1))
     for r in cuts:
         out[r.i] = r.q

@@ -213,6 +213,16 @@ def test_chroma_alignment_recall(spark):
     assert chroma.search(found.limit(0), asked.limit(0)).count() == 0
 
 
+def test_chroma_thresholds_are_of_every_frame(spark):
+    t = np.arange(2_000) / chroma.RATE
+    rows = [(i, (9000 * np.sin(2 * np.pi * (110 + i % 97 * 3) * t * (1 + t))).astype("<i2").tobytes()) for i in range(700)] + [(None, None), (7, b"\1\2\3")]
+    media = spark.createDataFrame(rows, "rec_id long, audio binary").repartition(3)
+    seen = [chroma.values(chroma.chroma(np.frombuffer(a[: len(a) // 2 * 2], "<i2").astype(float))) for _, a in rows if a]
+    want = np.quantile(np.rint(np.concatenate(seen) * chroma.GRID) / chroma.GRID, [0.25, 0.5, 0.75], axis=0).T
+    assert np.allclose(chroma.fit(media), want, atol=1e-9)
+    assert (chroma.fit(media.limit(0)) == [-0.1, 0.0, 0.1]).all()
+
+
 def test_chroma_query_returns_all_pairs_and_members(spark, tmp_path):
     from quillmark.llm.queries import op7_chroma_alignment
 
