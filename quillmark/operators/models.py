@@ -5,6 +5,8 @@ A stage sends, per row, texts with the tasks and entities wanted of them. What i
 column, so that a pass conditioned on an earlier facet asks each row once, for its own labels. Rows without a text ask nothing, so
 gated rows cost no call.
 
+A task answers a few batches of rows at a time, however many Spark hands it, so what it holds does not grow with its partition.
+
 A model that cannot be loaded fails its task: no job goes through without one. A request that fails is tried text by text, and then
 task by task; a task that fails still is null, and its row `partial`.
 """
@@ -16,7 +18,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
@@ -170,6 +174,21 @@ def answer(model: Model, asks: list[tuple[tuple[Task, ...], dict[str, str]]], ro
     return out
 
 
+#: What a task answers at once, whatever Spark hands it: so many batches of rows, and bytes of their texts.
+BATCHES, BYTES = 16, 4 << 20
+
+
+def pieces(columns: tuple[pa.Array, ...], texts: int, rows: int, most_bytes: int) -> Iterator[list[pa.Array]]:
+    """Slices of at most `rows` rows and, unless one row has more, `most_bytes` in the first `texts` columns."""
+    ends = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:texts]).cumsum()
+    lo = 0
+    while lo < len(ends):
+        held = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, held + most_bytes, "right"))))
+        yield [c.slice(lo, hi - lo) for c in columns]
+        lo = hi
+
+
 @dataclass
 class ModelBackend:
     """A learned model. key: names the model within a process; by default it is that of the loader's own bytes."""
@@ -197,9 +216,10 @@ class ModelBackend:
             for columns in parts:
                 columns = (columns,) if isinstance(columns, pa.Array) else columns
                 model = loaded(key, load)
-                texts, labels = [c.to_pylist() for c in columns[: len(wanted)]], dict(zip(dynamic, (c.to_pylist() for c in columns[len(wanted) :])))
-                rows = [[(texts[i][r], tuple(labels[i][r]) if i in labels and labels[i][r] else None) for i in range(len(wanted))] for r in range(len(columns[0]))]
-                yield pa.array(answer(model, wanted, rows, batch), pa.list_(_ANSWER_ARROW))
+                for some in pieces(columns, len(wanted), BATCHES * batch, BYTES):
+                    texts, labels = [c.to_pylist() for c in some[: len(wanted)]], dict(zip(dynamic, (c.to_pylist() for c in some[len(wanted) :])))
+                    rows = [[(texts[i][r], tuple(labels[i][r]) if i in labels and labels[i][r] else None) for i in range(len(wanted))] for r in range(len(some[0]))]
+                    yield pa.array(answer(model, wanted, rows, batch), pa.list_(_ANSWER_ARROW))
 
         # Its name must tell two kinds of inputs apart: one column comes as arrays, several as tuples of them.
         run.__annotations__ = {"parts": Iterator[tuple[pa.Array, ...]] if len(asks) + len(dynamic) > 1 else Iterator[pa.Array], "return": Iterator[pa.Array]}

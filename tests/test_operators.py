@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,6 +412,24 @@ def test_a_failing_task_leaves_the_others_of_its_request(spark, tmp_path):
     assert got[1].activity_type.value == "" and got[1].function_guess.value == got[2].function_guess.value == "legal"
 
 
+def test_a_model_is_asked_a_bounded_number_of_rows_at_once(spark):
+    texts = pa.array([None if i % 7 == 0 else "ab" * (i % 5) for i in range(10_000)] + ["x" * 5_000_000, "y"])
+    cut = list(models.pieces((texts, texts), 1, 1024, 4 << 20))
+    assert pa.concat_arrays([c[0] for c in cut]).equals(texts) and [len(c[0]) for c in cut] == [1024] * 9 + [784, 1, 1]
+    assert not list(models.pieces((texts.slice(0, 0),), 1, 1024, 4 << 20))
+
+    class Spread:
+        """Answers with how far apart the rows are that it is asked about at once."""
+
+        def classify(self, texts, task, labels):
+            ids = [int(t.split()[0]) for t in texts]
+            return [[(str(max(ids) - min(ids)), 1.0)] for _ in texts]
+
+    df = spark.range(0, 9_000, 1, 1).select(F.concat(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit(" "), F.repeat(F.lit("x"), (F.col("id") % 10).cast("int"))).alias("text"))
+    got = df.select(models.ModelBackend(Spread, batch=8).classify(F.col("text"), "t", ["a"])[0]["label"].cast("int").alias("d")).agg(F.count("d").alias("n"), F.max("d").alias("d")).first()
+    assert got.n == 9_000 and got.d < 128
+
+
 def test_a_model_that_cannot_be_loaded_fails_the_job(spark):
     def load():
         raise OSError("no weights")
