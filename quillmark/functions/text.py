@@ -62,6 +62,16 @@ def is_placeholder(c) -> Column:
     return (t != "") & (template | masked | pronoun | F.lower(t).isin(vocab.PLACEHOLDER_WORDS) | capitals)
 
 
+def placeholders(c) -> Column:
+    """The runs without ASCII white space that are placeholders. One pass over the text finds all that may be, by a sign of each shape;
+    only these are judged."""
+    word, stand_ins = r"[^ \t\n\r\x0B\f]", "|".join(vocab.PLACEHOLDER_WORDS)
+    starts = rf"[{_GO_SPACE}&&{word}]*+(?:[<$%]|\{{\{{|(?i:your|my|the)[_\-]|(?iu:{stand_ins})(?={_GO_SPACE}|\z)|[A-Z0-9]*+[_*])"
+    inside = rf"{word}*?(?:\*{{3}}|[xX]{{4}}|…{{3}}|•{{3}})"
+    run = rf"(?<!{word})(?:{starts}|{inside}){word}*+"
+    return F.filter(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(run), F.lit(0)), is_placeholder)
+
+
 def mask(label, value) -> Column:
     """An e-mail keeps its host, a long value its last four code points."""
     v, tail = col(value), 4

@@ -122,8 +122,7 @@ def masked_contacts(spark, sf_dir):
 with s as (select doc_id, unnest(string_split_regex(text, '[ \t\n\r\x0B\f]+')) as w from documents)
 select doc_id, count(*) filter ({_placeholder('w')}) as n_placeholders from s group by doc_id""")
 def placeholder_flags(spark, sf_dir):
-    pieces = F.split("text", r"[ \t\n\r\x0B\f]+")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.filter(pieces, T.is_placeholder)).cast("long").alias("n_placeholders"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(T.placeholders("text")).cast("long").alias("n_placeholders"))
 
 
 @query("""

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def test_placeholder(spark):
     assert column(spark, yes + no, T.is_placeholder) == [True] * len(yes) + [False] * len(no)
 
 
+def test_placeholders_of_a_text_are_those_of_its_words(spark):
+    rng = random.Random(4)
+    parts = ["<", ">", "${", "}", "$", "{{", "}}", "%", "A", "Z9", "b", "_", "*", "**", "xX", "XXx", "…", "……", "•••", "your", "MY", "the", "-", "token", "to\u212aen", "FAKE", "your-token-here", "fa\u212ae", "\u017fecret"]
+    parts += ["\u00a0", "\u3000", "\u0085", "😀", "é", " ", " ", " ", "\t", "\n", "\x0b", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["x" * 300_000 + "y", "😀<a>", "\u00a0example\u2003 todo\u00a0x", "a" * 300_000 + " <k>", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+    words = F.filter(F.split(F.coalesce("v", F.lit("")), r"[ \t\n\r\x0B\f]+"), T.is_placeholder)
+    rows = df.select("i", words.alias("want"), T.placeholders("v").alias("got")).collect()
+    assert not [(texts[r.i][:80], r.want, r.got) for r in rows if r.want != r.got] and sum(len(r.got) for r in rows) > 1000
+
+
 def test_mask(spark):
     rows = [("email", "a@b@host.org", "***@host.org"), ("secret", "abcdefgh", "…efgh"), ("phone", "123456", "***"), ("secret", "пароль-длинный", "…нный"), ("email", "no-at-sign", "…sign")]
     df = spark.createDataFrame(rows, "label string, value string, want string")
