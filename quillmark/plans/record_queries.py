@@ -17,7 +17,7 @@ from ..sources import loaders, sinks
 from ..sources.tail import TranscriptTail
 from ..streaming import processors, stateful
 from ..streaming.delivery import Delivery
-from ..streaming.landing import drained, landed, table_stream
+from ..streaming.landing import arrival, drained, landed, table_stream
 from ..streaming.settings import Holder, Settings, enriched
 from .registry import query, table
 
@@ -379,7 +379,7 @@ def stream_dedup(spark, sf_dir):
 def stream_sequence(spark, sf_dir):
     rows = table_stream(spark, sf_dir, "conversations")
     pid = F.when(F.col("role") == "user", F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")))
-    return landed(stateful.sequence(rows.select("conv_id", "turn", pid.alias("pid")), "conv_id", "turn", "pid"), "sequence")
+    return landed(stateful.sequence(rows.select("conv_id", "turn", pid.alias("pid"), arrival().alias("at")), "conv_id", "turn", "pid", "at"), "sequence")
 
 
 @query("""

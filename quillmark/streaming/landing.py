@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..scratch import scratch
 
@@ -43,3 +44,8 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # A stream's path must be a folder unless it is a pattern; this one matches the table alone.
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def arrival() -> Column:
+    """Where a row of a table's stream stands in the table: by file, then by row, as a text in that order."""
+    return F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.row_index").cast("string"), 19, "0"))

@@ -42,23 +42,34 @@ def dedup(df: DataFrame, key: str, order: str, within: str, remembered: int = 40
     return _stateful(df, [within], step, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema), "taken array<string>")
 
 
-def sequence(df: DataFrame, session: str, order: str, prompt_id: str) -> DataFrame:
-    """Per session: a 1-based number of each row, and the latest prompt id at or before it."""
+def sequence(df: DataFrame, session: str, order: str, prompt_id: str, arrival: str | None = None) -> DataFrame:
+    """Per session: a 1-based number of each row, and the latest prompt id at or before it.
+
+    Rows of equal order come by their `arrival`, a text, else as they are read; rows without an order come last.
+    """
+    kinds = dict(df.dtypes)
+    # Integers travel as text: in pandas a null would make floats of its batch's, which are not exact beyond 2^53.
+    whole = [c for c in (session, order) if kinds[c] in ("tinyint", "smallint", "int", "bigint")]
+    number = int if order in whole else lambda o: o
+
+    def place(row: tuple) -> tuple:
+        o, at, _ = row
+        return (True, 0, at) if o is None or o != o else (False, number(o), at)
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last = state.get if state.exists else (0, None)
-        rows = _ordered(batches, [order])
-        numbers, prompts = [], []
-        for p in rows[prompt_id]:
-            n += 1
+        rows = sorted((row for b in batches for row in zip(b[order], b[arrival] if arrival else [""] * len(b), b[prompt_id])), key=place)
+        prompts = []
+        for *_, p in rows:
             last = p if isinstance(p, str) and p else last
-            numbers.append(n)
             prompts.append(last)
-        state.update((n, last))
-        yield pd.DataFrame({session: rows[session], order: rows[order], "event_sequence": numbers, "last_prompt_id": prompts})
+        state.update((n + len(rows), last))
+        yield pd.DataFrame({session: group[0], order: [o for o, *_ in rows], "event_sequence": range(n + 1, n + len(rows) + 1), "last_prompt_id": prompts})
 
-    kinds = dict(df.dtypes)
-    return _stateful(df, [session], step, f"{session} {kinds[session]}, {order} {kinds[order]}, event_sequence long, last_prompt_id string", "n long, last string")
+    sent = df.select(*(F.col(c).cast("string").alias(c) if c in whole else c for c in (session, order)), prompt_id, *([arrival] if arrival else []))
+    sent_kinds = dict(sent.dtypes)
+    got = _stateful(sent, [session], step, f"{session} {sent_kinds[session]}, {order} {sent_kinds[order]}, event_sequence long, last_prompt_id string", "n long, last string")
+    return got.select(*(F.col(c).cast(kinds[c]).alias(c) for c in (session, order)), "event_sequence", "last_prompt_id")
 
 
 def sustained(df: DataFrame, key: str, ts: str, value: str, threshold: float, window_s: float) -> DataFrame:

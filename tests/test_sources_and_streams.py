@@ -4,6 +4,8 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quillmark.operators import events
@@ -177,3 +179,20 @@ def test_stream_sequence_of_a_table_in_parts(spark, tmp_path):
     in_parts(spark, f"{tmp_path}/conversations.parquet", rows, "conv_id long, turn long, role string, text string")
     got = QUERIES["stream_sequence"](spark, str(tmp_path)).collect()
     assert sorted((r.conv_id, r.turn, r.event_sequence, r.last_prompt_id) for r in got) == [(c, t, t + 1, f"{c}#{t // 3 * 3}") for c, t, _, _ in rows]
+
+
+def test_stream_sequence_keeps_large_ids_beside_nulls(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(big, big + 2, "user", "x"), (big, None, "assistant", "x"), (big, big, "system", "x"), (None, big, "user", "x"), (1, big, "user", "x")]
+    in_parts(spark, f"{tmp_path}/conversations.parquet", rows, "conv_id long, turn long, role string, text string")
+    got = {tuple(r) for r in QUERIES["stream_sequence"](spark, str(tmp_path)).collect()}
+    assert got == {(big, big, 1, None), (big, big + 2, 2, f"{big}#{big + 2}"), (big, None, 3, f"{big}#{big + 2}"), (None, big, 1, None), (1, big, 1, f"1#{big}")}
+
+
+def test_stream_sequence_of_equal_turns_follows_the_table(spark, tmp_path):
+    folder = tmp_path / "conversations.parquet"
+    folder.mkdir()
+    for name, role, text in (("a", "assistant", "x"), ("b", "user", "y" * 50_000)):  # Spark reads the larger file first
+        pq.write_table(pa.table({"conv_id": list(range(20)), "turn": [0] * 20, "role": [role] * 20, "text": [f"{text}{i}" for i in range(20)]}), folder / f"{name}.parquet", compression="none")
+    got = {tuple(r) for r in QUERIES["stream_sequence"](spark, str(tmp_path)).collect()}
+    assert got == {(c, 0, n, p) for c in range(20) for n, p in ((1, None), (2, f"{c}#0"))}
